@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Words of the contracts, as a Java and RE2 pattern. bytes.split() splits UTF-8 at the same six bytes.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -34,9 +36,7 @@ def map_texts(docs: DataFrame, doc_id: str, text: str, schema: str, rows: Callab
 
         yield from pack(rows(pairs()), kinds)
 
-    out = docs.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+    out = StructType.fromDDL(schema)
     kinds = to_arrow_schema(out)
     return docs.select(F.col(doc_id).cast("bigint").alias("_id"), utf8(text).alias("_text")).mapInArrow(run, out)
 
