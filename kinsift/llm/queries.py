@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from kinsift.llm import exact, mixing, sharding, simhash
+from kinsift.llm import audio, bpe, exact, licenses, mixing, sharding, simhash
 
 QUERIES = {
+    "op1_audio": audio.op1_audio,
     "op2_source_mix": mixing.op2_source_mix,
     "op4_shuffle_shards": sharding.op4_shuffle_shards,
     "op6_simhash": simhash.op6_simhash,
+    "op7_licenses": licenses.op7_licenses,
+    "op8_bpe": bpe.op8_bpe,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
