@@ -44,7 +44,7 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: i
     whole = F.coalesce(F.col(text), F.lit(""))
     found = materialize(winners(docs, doc_id, text, salts, digest).drop("_text"), "texts")
     total, texts, digests = found.agg(F.coalesce(F.sum("group_size"), F.lit(0)), F.count("*"), F.count_distinct("_digest")).first()
-    rows = docs.withColumn("_digest", digest(whole))
+    rows = docs.withColumn("_digest", digest(whole)).withColumn("text_sha256", sha256(whole))  # before the join, which then needs no text
     if texts == digests:
         out = attach(rows, found, "_digest", F.col(doc_id), "group_size", ["keep_id", "group_size"], total)
     else:  # different texts share a digest: their rows find their group by content
@@ -52,7 +52,7 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: i
         out = attach(rows.join(shared, "_digest", "left_anti").select(rows.columns), found.join(shared, "_digest", "left_anti"), "_digest", F.col(doc_id), "group_size", ["keep_id", "group_size"], total)
         clash = rows.join(shared, "_digest", "left_semi").select(rows.columns)
         out = out.unionByName(clash.join(winners(clash.drop("_digest"), doc_id, text, salts, digest).drop("_digest"), whole == F.col("_text")).select(out.columns))
-    return out.select(*docs.columns, "keep_id", "group_size", F.col(doc_id).eqNullSafe(F.col("keep_id")).alias("kept"), sha256(whole).alias("text_sha256"))
+    return out.select(*docs.columns, "keep_id", "group_size", F.col(doc_id).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
