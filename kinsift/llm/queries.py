@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from kinsift.llm import audio, bpe, exact, licenses, mixing, sharding, simhash
+from kinsift.llm import audio, bpe, exact, language, licenses, mixing, sharding, simhash, tokenfiles
 
 QUERIES = {
     "op1_audio": audio.op1_audio,
     "op2_source_mix": mixing.op2_source_mix,
+    "op3_token_files": tokenfiles.op3_token_files,
     "op4_shuffle_shards": sharding.op4_shuffle_shards,
     "op6_simhash": simhash.op6_simhash,
     "op7_licenses": licenses.op7_licenses,
     "op8_bpe": bpe.op8_bpe,
+    "op9_language": language.op9_language,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
