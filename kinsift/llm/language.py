@@ -263,6 +263,29 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str =
     return map_texts(docs, doc_id, text, "doc_id bigint, lang_pred string, score double", rows)
 
 
+def keep(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", sure: float = SURE, path: str | None = None) -> DataFrame:
+    """docs without the rows that are of no learned language: no letter, or no language at least ``sure``.
+
+    All columns and rows pass through the task that scores them, so nothing is shuffled or joined. If
+    no language was learned, the rows with a letter stay.
+    """
+    path, (languages, weights) = path or public_path(VOCABULARY), model
+    shared, at = docs.sparkSession.sparkContext.broadcast(weights), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(path, shared.value)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                stays = []
+                for got in scorer.score([x.as_py() or "" for x in part.column(at)]):
+                    share = None if got is None or not languages else np.exp(got[0] - got[0].max())
+                    stays.append(got is not None and (share is None or float(1 / share.sum()) >= sure))
+                yield part.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the quarter of documents that nothing is learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

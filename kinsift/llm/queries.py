@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from kinsift.llm import audio, bpe, exact, language, licenses, mixing, sharding, simhash, tokenfiles
+from kinsift.llm import audio, bpe, exact, language, licenses, mixing, sharding, simhash, substring, tokenfiles
 
 QUERIES = {
     "op1_audio": audio.op1_audio,
     "op2_source_mix": mixing.op2_source_mix,
     "op3_token_files": tokenfiles.op3_token_files,
     "op4_shuffle_shards": sharding.op4_shuffle_shards,
+    "op5_substring": substring.op5_substring,
     "op6_simhash": simhash.op6_simhash,
     "op7_licenses": licenses.op7_licenses,
     "op8_bpe": bpe.op8_bpe,
@@ -16,4 +17,4 @@ QUERIES = {
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
-SQL = {"op2_source_mix": mixing.OP2_SQL, "op10_exact_dedup": exact.OP10_SQL}
+SQL = {"op2_source_mix": mixing.OP2_SQL, "op5_substring": substring.OP5_SQL, "op10_exact_dedup": exact.OP10_SQL}
