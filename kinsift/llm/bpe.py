@@ -23,7 +23,7 @@ from kinsift.llm.text import map_texts
 
 VOCABULARY = "word_bpe_49k.json"
 
-#: Distinct pieces that a worker keeps encoded; beyond this it starts again.
+#: Distinct pieces (and words) that a worker keeps encoded; beyond this the long ones go.
 KEPT = 300_000
 
 #: Bytes of text whose new pieces are encoded together.
@@ -44,18 +44,38 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-class Bpe:
-    """A vocabulary file of the tokenizers library: BPE with word ends, lower case, NFC."""
+class Rules:
+    """How a vocabulary file of the tokenizers library normalises texts and cuts them into words."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
+            self.spec = spec = json.load(f)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern.replace("\\s", "\\p{White_Space}"))
+
+    def has_special(self, text: str) -> bool:
+        return "<|" in text and self.split_special.search(text) is not None
+
+    def normal(self, piece: str) -> str:
+        if piece.isascii():
+            return piece.lower()
+        return "".join(c.lower() for c in unicodedata.normalize("NFC", piece))
+
+    def words_of(self, piece: str) -> list[str]:
+        """The words of a piece without white space and special tokens."""
+        return self.words.findall(self.normal(piece))
+
+
+class Bpe(Rules):
+    """A vocabulary file of the tokenizers library: BPE with word ends, lower case, NFC."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        spec = self.spec
+        vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         letters = byte_letters()
         self.inside = np.array([vocab[c] for c in letters], np.int64)
         self.final = np.array([vocab[c + end] for c in letters], np.int64)
@@ -74,11 +94,7 @@ class Bpe:
         tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.tokens = [tokens.get(i, "").encode() for i in range(max(tokens) + 1)]
         self.kept: dict[bytes, bytes] = {}
-
-    def normal(self, piece: str) -> str:
-        if piece.isascii():
-            return piece.lower()
-        return "".join(c.lower() for c in unicodedata.normalize("NFC", piece))
+        self.known: dict[str, bytes] = {}  # ids of words
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words in one array, and where each word starts in it."""
@@ -115,19 +131,22 @@ class Bpe:
 
     def learn(self, pieces: Iterable[bytes]) -> None:
         """Encodes pieces without white space and keeps their ids."""
-        plans, words = [], {}
+        if len(self.known) > KEPT:
+            self.known = shorter(self.known)
+        plans, new = [], {}
         for piece in pieces:
-            plan = []
-            for k, part in enumerate(self.split_special.split(piece.decode("utf-8", "replace"))):
-                if k % 2:
-                    plan.append(-self.special[part] - 1)
-                elif part:
-                    plan += [words.setdefault(w.encode(), len(words)) for w in self.words.findall(self.normal(part))]
+            text = piece.decode("utf-8", "replace")
+            if self.has_special(text):
+                parts = self.split_special.split(text)
+                plan = [x for k, part in enumerate(parts) for x in ([self.special[part].to_bytes(4, "little")] if k % 2 else self.words_of(part))]
+            else:
+                plan = self.words_of(text)
             plans.append((piece, plan))
-        ids, starts = self.merge(list(words))
-        own = [ids[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            new.update((w, None) for w in plan if w not in self.known and isinstance(w, str))
+        ids, starts = self.merge([w.encode() for w in new])
+        self.known.update(zip(new, (ids[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)), strict=True))
         for piece, plan in plans:
-            self.kept[piece] = b"".join(own[w] if w >= 0 else (-w - 1).to_bytes(4, "little") for w in plan)
+            self.kept[piece] = b"".join(self.known[w] if isinstance(w, str) else w for w in plan)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
@@ -138,13 +157,21 @@ class Bpe:
         return b" ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def shorter(kept: dict) -> dict:
+    """The entries whose keys have at most six letters, which are the frequent ones, if they are few enough."""
+    left = {k: v for k, v in kept.items() if len(k) <= 6}
+    return left if 2 * len(left) <= KEPT else {}
+
+
 def encode_pieces(texts: list[bytes], kept: dict[bytes, bytes], learn: Callable[[set[bytes]], None]) -> list[bytes]:
     """Joins the ids of each text's pieces, which ``learn`` puts into ``kept`` when they are new."""
     cut = [t.split() for t in texts]
     new = set().union(*cut).difference(kept)
     if len(kept) + len(new) > KEPT:
+        left = shorter(kept)
         kept.clear()
-        new = set().union(*cut)
+        kept.update(left)
+        new = set().union(*cut).difference(kept)
     if new:
         learn(new)
     return [b"".join(map(kept.__getitem__, pieces)) for pieces in cut]

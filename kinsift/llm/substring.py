@@ -15,10 +15,10 @@ covered by the first one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,27 +29,39 @@ from kinsift.storage import materialize
 
 WINDOW, ANCHOR = 13, 4
 
-#: Distinct words whose hashes a task keeps; beyond this it starts again.
-KEPT = 500_000
-
 NULL_ID = (1 << 63) - 1
 
 MIXER, FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
+#: Base of the words' polynomial hash; odd, so that it has an inverse modulo 2**64.
+BASE = 0xD1342543DE82EF95
+
 
 class Phrases:
-    """Hashes of words, of anchors and of whole phrases."""
+    """Hashes of words, of anchors and of whole phrases, for a whole text at a time."""
 
     def __init__(self, window: int = WINDOW, anchor: int = ANCHOR):
-        self.window, self.anchor, self.kept = window, anchor, {}
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        kept = self.kept
-        if len(kept) > KEPT:
-            kept.clear()
-        for w in set(words).difference(kept):
-            kept[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
+        self.window, self.anchor = window, anchor
+        self.up = self.down = np.ones(0, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        """Powers of the base and of its inverse, for texts of up to n bytes."""
+        if len(self.up) < n:
+            n = 1 << max(16, n.bit_length())
+            self.up, self.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, b, np.uint64))), dtype=np.uint64) for b in (BASE, pow(BASE, -1, 1 << 64)))
+
+    def hashes(self, text: bytes) -> np.ndarray:
+        """A hash of every word: the difference of two prefix sums of a polynomial, moved to the origin."""
+        self._powers(len(text) + 1)
+        letters = np.frombuffer(text, np.uint8)
+        blank = (letters == 32) | ((letters >= 9) & (letters <= 13))
+        edge = np.flatnonzero(np.diff(np.concatenate(([1], blank.view(np.int8), [1]))))
+        start, end = edge[::2], edge[1::2]
+        upto = np.zeros(len(letters) + 1, np.uint64)
+        np.cumsum((letters + np.uint64(1)) * self.up[: len(letters)], out=upto[1:])
+        h = (upto[end] - upto[start]) * self.down[start]
+        h ^= h >> np.uint64(32)
+        return h * MIXER
 
     @staticmethod
     def runs(h: np.ndarray, size: int) -> np.ndarray:
@@ -57,47 +69,32 @@ class Phrases:
         n = len(h) - size + 1
         out = np.zeros(max(0, n), np.uint64)
         for k in range(size if n > 0 else 0):
-            out = (out ^ h[k : k + n]) * MIXER
+            out ^= h[k : k + n]
+            out *= MIXER
             out ^= out >> np.uint64(29)
         return out * FINAL
 
     def anchors(self, h: np.ndarray) -> np.ndarray:
-        """The anchor of every phrase, 48 bits."""
+        """The anchor of every phrase, 48 bits: a sliding minimum, by doubling."""
         if len(h) < self.window:
             return np.zeros(0, np.int64)
-        runs = self.runs(h, self.anchor) >> np.uint64(16)
-        return np.lib.stride_tricks.sliding_window_view(runs, self.window - self.anchor + 1).min(1).astype(np.int64)
+        least, size, wide = self.runs(h, self.anchor) >> np.uint64(16), 1, self.window - self.anchor + 1
+        while 2 * size <= wide:
+            least, size = np.minimum(least[:-size], least[size:]), 2 * size
+        n = len(h) - self.window + 1
+        return np.minimum(least[:n], least[wide - size : wide - size + n]).astype(np.int64)
 
     def keys(self, h: np.ndarray) -> np.ndarray:
         return self.runs(h, self.window).view(np.int64)
 
 
-def factors(found: list[tuple[int, int]], window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """(first word, words, source) of the greedy parse; found: (place, earliest document) of each indexed phrase."""
-    out: list[list[int]] = []
-    for place, source in sorted(found):
-        if out and out[-1][2] == source and place == out[-1][0] + out[-1][1] - window + 1:
-            out[-1][1] += 1
-        else:
-            out.append([place, window, source])
-    return [tuple(x) for x in out]
-
-
-def _map(rows: DataFrame, schema: str, each) -> DataFrame:
-    out = StructType.fromDDL(schema)
-    kinds = to_arrow_schema(out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases()
-
-        def tuples() -> Iterator[tuple]:
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    yield from each(phrases, *(batch.column(c)[k].as_py() for c in range(batch.num_columns)))
-
-        yield from pack(tuples(), kinds, most=20_000)
-
-    return rows.mapInArrow(run, out)
+def factors(place: np.ndarray, source: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, words and source of each factor of the greedy parse; of each indexed phrase: its place and earliest document."""
+    order = np.argsort(place, kind="stable")
+    place, source = place[order].astype(np.int64), source[order]
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 1) | (np.diff(source) != 0)))[: len(place)])
+    last = np.append(first[1:], len(place)) - 1
+    return place[first], place[last[: len(first)]] - place[first] + window, source[first]
 
 
 def _long(batches_schema: str, each):
@@ -144,40 +141,52 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         return [np.full(n, x.as_py(), np.int64) for x in ids]
 
     def anchors_of(phrases: Phrases, *row) -> list[np.ndarray]:
-        found = np.unique(phrases.anchors(phrases.hashes(row[-1].as_py().split())))
+        found = np.unique(phrases.anchors(phrases.hashes(row[-1].as_py())))
         return [found, *spread(row[:-1], len(found))]
 
     def indexed_of(phrases: Phrases, *row) -> list[np.ndarray]:
-        h = phrases.hashes(row[-2].as_py().split())
-        anchors = phrases.anchors(h)
-        place = np.flatnonzero(np.isin(anchors, row[-1].values.to_numpy(zero_copy_only=False)))
-        return [(anchors[place] & 0xFFFFFFFF).astype(np.uint32).view(np.int32), phrases.keys(h)[place], *spread(row[:-2], len(place)), place.astype(np.int32)]
+        h = phrases.hashes(row[-2].as_py())
+        anchors, shared = phrases.anchors(h), row[-1].values.to_numpy(zero_copy_only=False)
+        later = np.isin(anchors, ~shared[shared < 0])
+        place = np.flatnonzero(later | np.isin(anchors, shared[shared >= 0]))
+        return [(anchors[place] & 0xFFFFFFFF).astype(np.uint32).view(np.int32), phrases.keys(h)[place], *spread(row[:-2], len(place)), place.astype(np.int32), later[place]]
 
     found = f"anchor bigint, {kinds}"
     anchors = rows.join(first, key).select(*key, "body").mapInArrow(_long(found, anchors_of), found)
-    shared = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select(F.col("anchor").alias("both"))
-    lists = anchors.join(shared, F.col("anchor") == F.col("both")).groupBy(*key).agg(F.collect_list("anchor").alias("anchors"))
-    found = f"block int, phrase bigint, {kinds}, place int"
+    shared = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.count("*").alias("n")).filter("n > 1").select(F.col("anchor").alias("both"), "lo")
+    # of a document's shared anchors, those that an earlier one has too are negated: only their phrases can be copies
+    lists = anchors.join(shared, F.col("anchor") == F.col("both")).groupBy(*key).agg(F.collect_list(F.when(F.col("lo") < F.col("id"), F.bitwise_not("anchor")).otherwise(F.col("anchor"))).alias("anchors"))
+    found = f"block int, phrase bigint, {kinds}, place int, later boolean"
     index = rows.join(lists, key).select(*key, "body", "anchors").mapInArrow(_long(found, indexed_of), found)
-    earliest = index.groupBy("block", "phrase").agg(F.min("id").alias("source"), F.max("id").alias("hi")).filter("source < hi").select(F.col("block").alias("b"), F.col("phrase").alias("p"), "source")
-    hits = index.join(earliest, (F.col("block") == F.col("b")) & (F.col("phrase") == F.col("p"))).filter("source < id")
+    earliest = index.groupBy("block", "phrase").agg(F.min("id").alias("source")).select(F.col("block").alias("b"), F.col("phrase").alias("p"), "source")
+    hits = index.filter("later").drop("later").join(earliest, (F.col("block") == F.col("b")) & (F.col("phrase") == F.col("p"))).filter("source < id")
     spans = hits.groupBy(*key).agg(F.collect_list(F.struct("place", "source")).alias("hits"))
     todo = first.join(spans, key, "left").select(*key, F.coalesce("hits", F.array().cast("array<struct<place:int,source:bigint>>")).alias("hits"))
     whole = rows.join(todo, key, "left").select("id", "body", "hits")  # no list at all: a later copy
+    out = StructType.fromDDL("doc_id bigint, n_words bigint, n_kept bigint, kept binary, factors array<struct<start:bigint,words:bigint,source:bigint>>")
+    kept = to_arrow_schema(out)
 
-    def kept(phrases: Phrases, i: int, body: bytes, hits: list | None) -> Iterator[tuple]:
-        words = body.split()
-        if hits is None:
-            spans = [(0, len(words), NULL_ID)] if len(words) >= phrases.window else []
-        else:
-            spans = factors([(h["place"], h["source"]) for h in hits], phrases.window)
-        stays = bytearray(b"\1") * len(words)
-        for start, size, _ in spans:
-            stays[start : start + size] = bytes(size)
-        left = b" ".join(w for w, s in zip(words, stays, strict=True) if s) if spans else b" ".join(words)
-        yield None if i == NULL_ID else i, len(words), sum(stays), left, [{"start": a, "words": n, "source": None if s == NULL_ID else s} for a, n, s in spans]
-
-    return _map(whole, "doc_id bigint, n_words bigint, n_kept bigint, kept binary, factors array<struct<start:bigint,words:bigint,source:bigint>>", kept)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tuples() -> Iterator[tuple]:
+            for batch in batches:
+                for i, body, hits in zip(*batch.columns, strict=True):
+                    i, words = i.as_py(), body.as_py().split()
+                    if not hits.is_valid:
+                        spans = [(0, len(words), None)] if len(words) >= WINDOW else []
+                    elif len(hits):
+                        place, source = (hits.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                        spans = list(zip(*(x.tolist() for x in factors(place, source)), strict=True))
+                    else:
+                        spans = []
+                    stays, size = bytearray(b"\1") * len(words), len(words)
+                    for start, n, _ in spans:
+                        stays[start : start + n] = bytes(n)
+                    words = list(compress(words, stays)) if spans else words
+                    yield None if i == NULL_ID else i, size, len(words), b" ".join(words), [{"start": a, "words": n, "source": x} for a, n, x in spans]
+
+        yield from pack(tuples(), kept)
+
+    return whole.mapInArrow(run, out)
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ reaches will do. Every block is decoded by itself, wherever it is read.
 from __future__ import annotations
 
 import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from kinsift.llm import rangecoder
-from kinsift.llm.bpe import batched, encode_pieces, public_path
+from kinsift.llm.bpe import KEPT, Rules, batched, encode_pieces, public_path, shorter
 from kinsift.llm.text import pack, utf8
 from kinsift.operators.skew import join_small
 from kinsift.storage import materialize
@@ -31,22 +32,46 @@ FILES = "file int, block int, place bigint, doc_ids array<bigint>, lengths array
 
 
 class Library:
-    """The tokenizers library, asked once for each distinct piece between white space; no token crosses it."""
+    """The tokenizers library, asked once for each distinct word that its own splitting rule gives.
+
+    Texts are cut at white space, which no token crosses; a new piece is cut into words by the rule in
+    the vocabulary file, and the library encodes the words that are new. Pieces with special tokens go
+    to the library whole.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.rules = Rules(path)
         self.kept: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _ask(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for a in range(0, len(texts), 4096):
+            out += [np.array(got.ids, "<u4").tobytes() for got in self.tokenizer.encode_batch_fast(texts[a : a + 4096], add_special_tokens=False)]
+        return out
 
     def learn(self, pieces: set[bytes]) -> None:
-        new = list(pieces)
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for piece, got in zip(part, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False), strict=True):
-                self.kept[piece] = np.array(got.ids, "<u4").tobytes()
+        cut, special, new = [], [], {}
+        if len(self.words) > KEPT:
+            self.words = shorter(self.words)
+        for piece in pieces:
+            text = piece.decode("utf-8", "replace")
+            if self.rules.has_special(text):
+                special.append((piece, text))
+            else:
+                words = self.rules.words_of(text)
+                cut.append((piece, words))
+                new.update((w, None) for w in words if w not in self.words)
+        self.words.update(zip(new, self._ask(list(new)), strict=True))
+        known = self.words.__getitem__
+        self.kept.update((piece, b"".join(map(known, words))) for piece, words in cut)
+        self.kept.update(zip((p for p, _ in special), self._ask([t for _, t in special]), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         return encode_pieces(texts, self.kept, self.learn)
