@@ -20,6 +20,6 @@ def rows_of(frame) -> list[str]:
 
 
 def assert_same(spark, folder: str, query, sql: str) -> None:
-    got, want = query(spark, folder).toArrow(), tables(folder).execute(sql).fetch_arrow_table()
+    got, want = query(spark, folder).toArrow(), tables(folder).execute(sql).to_arrow_table()
     assert sorted(got.column_names) == sorted(want.column_names)
     assert rows_of(got) == rows_of(want)
