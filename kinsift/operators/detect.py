@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from kinsift.functions import text as T
 from kinsift.operators.anchors import anchor_clusters
 from kinsift.plans.config import DURATION_LEAST, DURATION_SIZES, DURATION_WINDOW, FEAT_BUCKET, FEAT_SECONDS, METHODS, ScanConfig
+from kinsift.sources.regions import read_survivors
 
 STAGE = {m: k + 1 for k, (m, _, _) in enumerate(METHODS)}
 CONFIDENCE = {m: c for m, c, _ in METHODS}
@@ -36,11 +37,20 @@ def claims(rows: DataFrame, method: str) -> DataFrame:
     return rows.select(F.lit(STAGE[method]).alias("stage"), F.lit(method).alias("method"), F.col("key").cast("string").alias("key"), "file_id")
 
 
-def exact(files: DataFrame, content: str = "content", quick: int = 65536) -> DataFrame:
-    """Equal size, then equal quick signature, then equal digest; each step sees only what is left of the one before."""
-    sized = buckets(files.filter("size > 0"), F.col("size")).drop("key")
-    signed = buckets(sized.withColumn("_quick", quick_signature(F.col(content), quick)), F.concat_ws(":", F.col("size").cast("string"), "_quick")).drop("key")
-    return claims(buckets(signed, F.concat_ws(":", F.col("size").cast("string"), F.sha2(F.col(content), 256))), "exact")
+def exact(files: DataFrame, content: str = "content") -> DataFrame:
+    """Equal size and digest, for a table that holds the content: it is digested where it is scanned and never moves."""
+    rows = files.filter("size > 0").select("file_id", "size", F.sha2(F.col(content), 256).alias("_digest"))
+    return claims(buckets(rows, F.concat_ws(":", F.col("size").cast("string"), "_digest")), "exact")
+
+
+def exact_files(files: DataFrame) -> DataFrame:
+    """Equal size, then equal quick signature, then equal digest, for files (file_id, path, size) on a mounted file system.
+
+    Each step opens only files that still share everything with another.
+    """
+    signed = read_survivors(files.filter("size > 0"), ["size"], "quick")
+    digested = read_survivors(signed.filter("quick is not null"), ["size", "quick"], "digest")
+    return claims(buckets(digested.filter("digest is not null"), F.concat_ws(":", F.col("size").cast("string"), "digest")), "exact")
 
 
 def quick_signature(content: Column, window: int = 65536) -> Column:
@@ -131,16 +141,16 @@ def unclaimed(files: DataFrame, claimed: DataFrame) -> DataFrame:
     return files.join(claimed.select("file_id").distinct(), "file_id", "left_anti")
 
 
-def equal_key_stages(files: DataFrame, config: ScanConfig) -> Iterator[tuple[str, DataFrame]]:
-    """The rules by equal keys that the options turn on and the columns allow, strongest first."""
+def equal_key_stages(files: DataFrame, keyed: DataFrame, config: ScanConfig) -> Iterator[tuple[str, DataFrame]]:
+    """The rules by equal keys that the options turn on and the columns allow, strongest first. keyed: files with_keys()."""
     if config.use_exact and "content" in files.columns:
         yield "exact", exact(files)
     if config.use_audio and "digest" in files.columns:
         yield "audio", same_region(files, config.include_untagged)
     if config.use_tags:
-        yield "tag", same_tags(files)
+        yield "tag", same_tags(keyed)
         if config.use_feat:
-            yield "feat", same_song(files)
-        yield "title", same_title(files)
+            yield "feat", same_song(keyed)
+        yield "title", same_title(keyed)
     if config.use_name:
-        yield "name", same_name(files)
+        yield "name", same_name(keyed)

@@ -512,6 +512,20 @@ def report_rows(spark, sf_dir):
     return report.report(rows, groups, "en").drop("path", "size_text", "duration_text")
 
 
+@query(
+    TAG
+    + r"""
+select gid, file_id, row_number() over (partition by gid order by size desc, path) as place, case when artist <> '' and title <> '' then artist || ' — ' || title else artist || title end as title_text,
+  cast(bitrate // 1000 as varchar) || ' kbps' as bitrate_text, strftime(make_timestamp(mtime_s * 1000000), '%Y-%m-%d %H:%M') as modified_text, 'Music tags: artist and title' as method_text,
+  cast(count(*) over (partition by gid) as bigint) as files, cast(sum(size) over (partition by gid) as bigint) as total_size
+from s"""
+)
+def result_view(spark, sf_dir):
+    rows = tag_members(spark, sf_dir)
+    groups = confidences(rows).withColumns({"primary_method": F.lit("tag"), "combined": F.lit(False)})
+    return report.view(rows, groups, "en").select("gid", "file_id", "place", "title_text", "bitrate_text", "modified_text", "method_text", "files", "total_size")
+
+
 # ---- dates and units ----------------------------------------------------------------------------
 
 

@@ -22,11 +22,10 @@ class Resolution:
 
 def find_claims(files: DataFrame, config: ScanConfig) -> tuple[DataFrame, list[str]]:
     """Claims of all rules that are on. Rules by closeness see only files that no rule before claimed."""
-    keyed = detect.with_keys(files, config.unicode)
-    if config.use_tags or config.use_name:
-        keyed = materialize(keyed.drop("content"), "keys") if "content" not in keyed.columns else keyed
+    keyed = detect.with_keys(files.drop("content"), config.unicode)
+    keyed = materialize(keyed, "keys") if config.use_tags or config.use_name else keyed
     found, methods = None, []
-    for method, rows in detect.equal_key_stages(keyed, config):
+    for method, rows in detect.equal_key_stages(files, keyed, config):
         rows = materialize(rows, method)
         found, methods = rows if found is None else found.union(rows), [*methods, method]
     for method, on, rule in (("duration", config.use_duration, detect.close_duration), ("size", config.use_size, lambda f: detect.close_size(f, config))):

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Least bytes of a region; bytes read at a time.
 LEAST, CHUNK = 4096, 1 << 20
@@ -34,6 +35,11 @@ class Bytes:
     def number(self, place: int, n: int, order: str) -> int:
         return int.from_bytes(self.at(place, n), order)
 
+    def quick(self, window: int = 65536) -> str:
+        """Digest of the length and of the first and last ``window`` bytes; the tail only beyond twice the window."""
+        tail = self.at(self.size - window, window) if self.size > 2 * window else b""
+        return hashlib.sha256(str(self.size).encode() + self.at(0, window) + tail).hexdigest()
+
     def digest(self, start: int, end: int) -> str:
         h = hashlib.sha256()
         for a in range(start, end, CHUNK):
@@ -145,20 +151,23 @@ def regions(files: DataFrame, content: str | None = "content") -> DataFrame:
     return files.select(F.col("file_id").cast("bigint"), "ext", source.alias("source")).mapInArrow(run, "file_id bigint, start bigint, end bigint, digest string")
 
 
-def read_survivors(files: DataFrame, same: list[str]) -> DataFrame:
-    """(file_id, path, size, content digest) of files that share ``same`` with another: the others are never opened."""
+def read_survivors(files: DataFrame, same: list[str], name: str = "digest") -> DataFrame:
+    """Files (file_id, path, size, ...) that share ``same`` with another, with one more column: ``quick``, the
+    quick signature, or ``digest``, of the whole file, null if it cannot be read. The others are never opened."""
+    if name not in ("quick", "digest"):
+        raise ValueError(f"no such signature: {name}")
     shared = files.groupBy(*same).count().filter("count > 1").drop("count")
-    left = files.join(shared, same, "left_semi").select("file_id", "path", "size")
+    left = files.join(shared, same, "left_semi").select("file_id", "path", "size", *(c for c in same if c != "size"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests = []
+            found = []
             for path in batch.column(1).to_pylist():
                 try:
                     data = Bytes(path)
-                    digests.append(data.digest(0, data.size))
+                    found.append(data.quick() if name == "quick" else data.digest(0, data.size))
                 except OSError:
-                    digests.append(None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], names=["file_id", "path", "size", "digest"])
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, name])
 
-    return left.mapInArrow(run, "file_id bigint, path string, size bigint, digest string")
+    return left.mapInArrow(run, StructType([*left.schema.fields, StructField(name, StringType())]))

@@ -6,7 +6,7 @@ whole, so no signature of older content survives.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = ["path", "size", "mtime_ns"]
@@ -59,6 +59,11 @@ def info(signatures: DataFrame, looked_up: DataFrame | None = None) -> DataFrame
     return looked_up.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses")).withColumn("rows", F.lit(rows.first()[0]))
 
 
+def bytes_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a snapshot's files, from their listing alone."""
+    return spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
 def save(signatures: DataFrame, folder: str, version: int) -> str:
     """Writes a snapshot beside the earlier ones; readers keep theirs until they open the new one."""
     path = f"{folder.rstrip('/')}/v{version:06d}"

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from kinsift.functions.fmt import REPORT
+from kinsift.operators import detect
 from kinsift.plans.config import ScanConfig
 from kinsift.sources import catalog, regions, report, signatures
 from kinsift.streaming.incremental import rescan, snapshot
@@ -63,6 +64,15 @@ def test_survivors_alone_are_read(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     df = spark.createDataFrame([(k, f"{tmp_path}/{n}", s) for k, (n, s) in enumerate((("a", 2), ("b", 2), ("c", 3), ("d", 9)))], "file_id long, path string, size long")
     assert sorted(r.file_id for r in regions.read_survivors(df, ["size"]).collect()) == [0, 1]
+    big = bytes(range(256)) * 1200
+    for name, content in (("e", big), ("f", big), ("g", big[:150_000] + b"!" + big[150_001:]), ("h", big[:-1] + b"!")):
+        (tmp_path / name).write_bytes(content)
+    more = spark.createDataFrame([(k, f"{tmp_path}/{n}", len(big)) for k, n in enumerate("efghx")], "file_id long, path string, size long")
+    quick = {r.file_id: r.quick for r in regions.read_survivors(more, ["size"], "quick").collect()}
+    assert quick[0] == quick[1] == quick[2] != quick[3] and quick[4] is None
+    assert sorted(r.file_id for r in detect.exact_files(more).collect()) == [0, 1]
+    held = spark.createDataFrame([(big,)], "content binary").select(detect.quick_signature(F.col("content"))).first()[0]
+    assert held == quick[0]
 
 
 def test_scan_folders(spark, tmp_path):
