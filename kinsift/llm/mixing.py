@@ -18,7 +18,10 @@ from kinsift.llm.text import WORD
 from kinsift.operators.skew import join_small
 from kinsift.storage import materialize
 
-WEIGHTS, SHARE, MOST, SEED, BUCKETS = (3, 1, 2), 1.5, 2, 7, 4096
+WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2, 7
+
+#: Buckets of the ranking, and buckets whose running sum is one task's.
+BUCKETS, RANGE = 4096, 64
 
 
 def words(text: Column) -> Column:
@@ -75,12 +78,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     rows = rows.withColumn("_rank", F.when(F.col("_p") > 0, (odds / (1 - odds)) / (F.col("_p") / (1 - F.col("_p")))))
     rows = rows.withColumn("_rank", F.col("_rank") / (1 + F.col("_rank")))
     rows = rows.withColumn("_bucket", F.floor(F.col("_rank") * BUCKETS))
-    # where each source's sample ends: words left after the whole copies, met by a running sum over buckets
+    # where each source's sample ends: words left after the whole copies, met by a running sum over ranges and their buckets
     counts = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_size"), F.sum(F.col("_whole") * F.col("size")).alias("_certain"))
-    by = Window.partitionBy("source")
-    counts = counts.withColumn("_certain", F.sum("_certain").over(by)).filter("_bucket is not null")
-    counts = counts.withColumn("_upto", F.sum("_size").over(by.orderBy("_bucket")))
-    ends = join_small(counts, aim.select("source", "target"), "source").withColumn("_left", F.col("target") - F.col("_certain"))
+    certain = counts.groupBy("source").agg(F.sum("_certain").alias("_certain"))
+    left = join_small(aim.select("source", "target"), certain, "source").select("source", (F.col("target") - F.col("_certain")).alias("_left"))
+    counts = counts.filter("_bucket is not null").withColumn("_range", F.floor(F.col("_bucket") / RANGE))
+    ranges = counts.groupBy("source", "_range").agg(F.sum("_size").alias("_all"))
+    ranges = ranges.withColumn("_start", F.sum("_all").over(Window.partitionBy("source").orderBy("_range")) - F.col("_all")).drop("_all")
+    inner = F.sum("_size").over(Window.partitionBy("source", "_range").orderBy("_bucket"))
+    counts = counts.withColumn("_inner", inner).withColumnsRenamed({"source": "_s", "_range": "_r"})
+    counts = counts.join(ranges, F.col("_s").eqNullSafe(F.col("source")) & (F.col("_r") == F.col("_range"))).withColumn("_upto", F.col("_start") + F.col("_inner"))
+    ends = join_small(counts.select("source", "_bucket", "_size", "_upto"), left, "source")
     ends = ends.filter("_upto >= _left").groupBy("source").agg(F.min(F.struct("_bucket", (F.col("_upto") - F.col("_size")).alias("_before"), "_left")).alias("_end"))
     ends = materialize(ends.select("source", "_end._bucket", "_end._before", "_end._left").withColumnRenamed("_bucket", "_last"), "ends")
     rows = join_small(rows, ends, "source", "left")
@@ -100,7 +108,7 @@ def repeat(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text
     ids must be unique, as they are after exact dedup; a repeated id takes the smallest number of copies.
     """
     taken = mix(docs, doc_id, source, text, **more).filter("copies > 0 and size > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.min("copies").alias("_copies"))
-    out = docs.join(taken, F.col(doc_id) == F.col("_id"))
+    out = docs.join(taken, F.col(doc_id).eqNullSafe(F.col("_id")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 

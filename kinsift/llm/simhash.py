@@ -40,25 +40,39 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED, step: int
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) of every row; null texts count as empty."""
+    """(doc_id, fp, own) of every row; null texts count as empty. own is Spark's xxhash64 of the text."""
 
     def rows(pairs: Iterator[tuple]) -> Iterator[tuple]:
         for i, x in pairs:
-            yield i, fingerprint(x, shingle, seed)
+            own = xxhash.xxh64_intdigest(x, 42)
+            yield i, fingerprint(x, shingle, seed), own - (own >> 63 << 64)
 
-    return map_texts(docs, doc_id, text, "doc_id bigint, fp bigint", rows)
+    return map_texts(docs, doc_id, text, "doc_id bigint, fp bigint, own bigint", rows)
 
 
 def links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     """(a, b): for each table entry with several fingerprints, its members linked to the smallest."""
     bits = 64 // SEGMENTS
     balls = [F.transform(F.sequence(F.lit(bits * s), F.lit(bits * s + bits - 1)), lambda i: F.col(fp).bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))) for s in range(SEGMENTS)]
-    probes = distinct.select(fp, F.explode(F.concat(F.array(fp), *balls)).alias("entry"))
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probes = distinct.repartition(parts, fp).select(fp, F.explode(F.concat(F.array(fp), *balls)).alias("entry"))
     met = probes.groupBy("entry").agg(F.collect_list(fp).alias("all")).filter(F.size("all") > 1)
     pairs = met.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).filter("a < b")
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).distinct()
 
 
+def _components(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int) -> DataFrame:
+    """(doc_id, fp, own, component_id) for every row."""
+    fps = materialize(fingerprints(docs, doc_id, text, shingle, seed), "fingerprints")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    found = connected_components(links(nodes.select("fp")), "a", "b")
+    linked = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
+    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    table = materialize(linked.join(ids, "component").select("fp", "n", "component_id"), "components")
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return attach(fps, table, "fp", F.col("doc_id"), "n", ["component_id"], total)
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
@@ -68,21 +82,17 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     carries several texts counts once for each; null ids are never the smallest (a component of
     null ids only has a null id). An empty table gives no rows.
     """
-    fps = materialize(fingerprints(docs, doc_id, text, shingle, seed), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
-    found = connected_components(links(nodes.select("fp")), "a", "b")
-    linked = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
-    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    table = materialize(linked.join(ids, "component").select("fp", "n", "component_id"), "components")
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    out = attach(fps, table, "fp", F.col("doc_id"), "n", ["component_id"], total)
+    out = _components(docs, doc_id, text, shingle, seed)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: the one with the smallest id. Rows with a null id stay."""
-    drop = near_groups(docs, doc_id, text).filter("component_id < doc_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, F.col(doc_id) == F.col("_drop"), "left_anti")
+    """docs with one row of each component: the one with the smallest id. Rows with a null id stay.
+
+    Rows go by id and text, so that of an id with several texts only the near copies leave.
+    """
+    drop = _components(docs, doc_id, text, SHINGLE, SEED).filter("component_id < doc_id").select(F.col("doc_id").alias("_drop"), F.col("own").alias("_own")).distinct()
+    return docs.join(drop, (F.col(doc_id) == F.col("_drop")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_own")), "left_anti")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

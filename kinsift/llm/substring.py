@@ -29,6 +29,10 @@ from kinsift.storage import materialize
 
 WINDOW, ANCHOR = 13, 4
 
+#: A phrase is hot if at least 1/HOT_SHARE of all distinct texts have it. There are at most HOT_SHARE times the
+#: mean number of phrases per text of them, at 20 bytes, however large the corpus.
+HOT_SHARE = 200
+
 NULL_ID = (1 << 63) - 1
 
 MIXER, FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -89,9 +93,7 @@ class Phrases:
 
 
 def factors(place: np.ndarray, source: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, words and source of each factor of the greedy parse; of each indexed phrase: its place and earliest document."""
-    order = np.argsort(place, kind="stable")
-    place, source = place[order].astype(np.int64), source[order]
+    """First word, words and source of each factor of the greedy parse; of each indexed phrase, from the left: its place and earliest document."""
     first = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 1) | (np.diff(source) != 0)))[: len(place)])
     last = np.append(first[1:], len(place)) - 1
     return place[first], place[last[: len(first)]] - place[first] + window, source[first]
@@ -147,26 +149,36 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     def indexed_of(phrases: Phrases, *row) -> list[np.ndarray]:
         h = phrases.hashes(row[-2].as_py())
         anchors, shared = phrases.anchors(h), row[-1].values.to_numpy(zero_copy_only=False)
-        later = np.isin(anchors, ~shared[shared < 0])
-        place = np.flatnonzero(later | np.isin(anchors, shared[shared >= 0]))
-        return [(anchors[place] & 0xFFFFFFFF).astype(np.uint32).view(np.int32), phrases.keys(h)[place], *spread(row[:-2], len(place)), place.astype(np.int32), later[place]]
+        keys, first = np.unique(phrases.keys(h), return_index=True)  # a phrase once per document
+        later = np.isin(anchors[first], ~shared[shared < 0])
+        stays = later | np.isin(anchors[first], shared[shared >= 0])
+        return [(anchors[first][stays] & 0xFFFFFFFF).astype(np.uint32).view(np.int32), keys[stays], *spread(row[:-2], int(stays.sum())), later[stays]]
 
     found = f"anchor bigint, {kinds}"
     anchors = rows.join(first, key).select(*key, "body").mapInArrow(_long(found, anchors_of), found)
     shared = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.count("*").alias("n")).filter("n > 1").select(F.col("anchor").alias("both"), "lo")
     # of a document's shared anchors, those that an earlier one has too are negated: only their phrases can be copies
     lists = anchors.join(shared, F.col("anchor") == F.col("both")).groupBy(*key).agg(F.collect_list(F.when(F.col("lo") < F.col("id"), F.bitwise_not("anchor")).otherwise(F.col("anchor"))).alias("anchors"))
-    found = f"block int, phrase bigint, {kinds}, place int, later boolean"
+    found = f"block int, phrase bigint, {kinds}, later boolean"
     index = rows.join(lists, key).select(*key, "body", "anchors").mapInArrow(_long(found, indexed_of), found)
-    earliest = index.groupBy("block", "phrase").agg(F.min("id").alias("source")).select(F.col("block").alias("b"), F.col("phrase").alias("p"), "source")
-    hits = index.filter("later").drop("later").join(earliest, (F.col("block") == F.col("b")) & (F.col("phrase") == F.col("p"))).filter("source < id")
-    spans = hits.groupBy(*key).agg(F.collect_list(F.struct("place", "source")).alias("hits"))
-    todo = first.join(spans, key, "left").select(*key, F.coalesce("hits", F.array().cast("array<struct<place:int,source:bigint>>")).alias("hits"))
+    phrase = [F.col("block").alias("b"), F.col("phrase").alias("p")]
+    earliest = index.groupBy("block", "phrase").agg(F.min("id").alias("source"), F.count("*").alias("n")).select(*phrase, "source", "n")
+    # a phrase of very many documents is looked up in a broadcast table, its rows dealt out evenly
+    least = max(2, -(-first.count() // HOT_SHARE))
+    hot = earliest.filter(F.col("n") >= least).select(F.col("b").alias("hot_b"), F.col("p").alias("hot_p"), F.col("source").alias("hot_source"))
+    seek = index.filter("later").drop("later").join(F.broadcast(hot), (F.col("block") == F.col("hot_b")) & (F.col("phrase") == F.col("hot_p")), "left")
+    seek = seek.withColumn("way", F.when(F.col("hot_source").isNotNull(), F.xxhash64("id", "phrase")).otherwise(F.col("phrase")))
+    cold = earliest.filter((F.col("n") < least) & (F.col("n") > 1)).drop("n")
+    hits = seek.join(cold, (F.col("block") == F.col("b")) & (F.col("way") == F.col("p")), "left").withColumn("source", F.coalesce("hot_source", "source")).filter("source < id")
+    spans = hits.groupBy(*key).agg(F.collect_list(F.struct("phrase", "source")).alias("hits"))
+    todo = first.join(spans, key, "left").select(*key, F.coalesce("hits", F.array().cast("array<struct<phrase:bigint,source:bigint>>")).alias("hits"))
     whole = rows.join(todo, key, "left").select("id", "body", "hits")  # no list at all: a later copy
     out = StructType.fromDDL("doc_id bigint, n_words bigint, n_kept bigint, kept binary, factors array<struct<start:bigint,words:bigint,source:bigint>>")
     kept = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases()
+
         def tuples() -> Iterator[tuple]:
             for batch in batches:
                 for i, body, hits in zip(*batch.columns, strict=True):
@@ -174,8 +186,11 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                     if not hits.is_valid:
                         spans = [(0, len(words), None)] if len(words) >= WINDOW else []
                     elif len(hits):
-                        place, source = (hits.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                        spans = list(zip(*(x.tolist() for x in factors(place, source)), strict=True))
+                        known, source = (hits.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                        order, keys = np.argsort(known), phrases.keys(phrases.hashes(body.as_py()))
+                        at = order[np.minimum(np.searchsorted(known, keys, sorter=order), len(known) - 1)]
+                        place = np.flatnonzero(known[at] == keys)
+                        spans = list(zip(*(x.tolist() for x in factors(place, source[at[place]])), strict=True))
                     else:
                         spans = []
                     stays, size = bytearray(b"\1") * len(words), len(words)
