@@ -26,6 +26,9 @@ VOCABULARY = "word_bpe_49k.json"
 #: Distinct pieces (and words) that a worker keeps encoded; beyond this the long ones go.
 KEPT = 300_000
 
+#: Stands between the ids of pieces; no id is as large, and ids leave zero bytes that keep it from appearing across two.
+GAP = b"\xff" * 4
+
 #: Bytes of text whose new pieces are encoded together.
 BATCH = 4 << 20
 
@@ -53,19 +56,41 @@ class Rules:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(pattern.replace("\\s", "\\p{White_Space}"))
+        self.words = regex.compile(pattern.replace("\\s", "\\p{White_Space}") + "|\\n")
 
     def has_special(self, text: str) -> bool:
         return "<|" in text and self.split_special.search(text) is not None
 
-    def normal(self, piece: str) -> str:
-        if piece.isascii():
-            return piece.lower()
-        return "".join(c.lower() for c in unicodedata.normalize("NFC", piece))
+    @staticmethod
+    def normal(text: str) -> str:
+        """NFC and lower case, character by character: a sigma is an inner one wherever it stands."""
+        if text.isascii():
+            return text.lower()
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def words_of(self, pieces: list[bytes]) -> list[str]:
+        """The words of pieces without white space and special tokens, each piece's followed by a line end."""
+        return self.words.findall(self.normal(b"\n".join([*pieces, b""]).decode("utf-8", "replace")))
 
-    def words_of(self, piece: str) -> list[str]:
-        """The words of a piece without white space and special tokens."""
-        return self.words.findall(self.normal(piece))
+    def learn(self, pieces: Iterable[bytes], kept: dict[bytes, bytes], known: dict[str, bytes], ask: Callable[[list[str]], list[bytes]]) -> None:
+        """Puts the ids of pieces into kept. known has the ids of words; ask gives those of new ones."""
+        plain, special = [], []
+        for piece in pieces:
+            (special if b"<|" in piece and self.has_special(piece.decode("utf-8", "replace")) else plain).append(piece)
+        words = self.words_of(plain)
+        new = list(set(words).difference(known, ("\n",)))
+        known.update(zip(new, ask(new), strict=True))
+        known["\n"] = GAP
+        kept.update(zip(plain, b"".join(map(known.__getitem__, words)).split(GAP)))
+        for piece in special:
+            own = b""
+            for k, part in enumerate(self.split_special.split(piece.decode("utf-8", "replace"))):
+                if k % 2:
+                    own += self.special[part].to_bytes(4, "little")
+                elif part:
+                    self.learn([part.encode()], kept, known, ask)
+                    own += kept[part.encode()]
+            kept[piece] = own
 
 
 class Bpe(Rules):
@@ -129,28 +154,15 @@ class Bpe(Rules):
         order = np.argsort(where, kind="stable")
         return ids[order].astype("<u4"), np.searchsorted(where[order], np.arange(len(words) + 1))
 
-    def learn(self, pieces: Iterable[bytes]) -> None:
-        """Encodes pieces without white space and keeps their ids."""
-        if len(self.known) > KEPT:
-            self.known = shorter(self.known)
-        plans, new = [], {}
-        for piece in pieces:
-            text = piece.decode("utf-8", "replace")
-            if self.has_special(text):
-                parts = self.split_special.split(text)
-                plan = [x for k, part in enumerate(parts) for x in ([self.special[part].to_bytes(4, "little")] if k % 2 else self.words_of(part))]
-            else:
-                plan = self.words_of(text)
-            plans.append((piece, plan))
-            new.update((w, None) for w in plan if w not in self.known and isinstance(w, str))
-        ids, starts = self.merge([w.encode() for w in new])
-        self.known.update(zip(new, (ids[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)), strict=True))
-        for piece, plan in plans:
-            self.kept[piece] = b"".join(self.known[w] if isinstance(w, str) else w for w in plan)
+    def ask(self, words: list[str]) -> list[bytes]:
+        ids, starts = self.merge([w.encode() for w in words])
+        return [ids[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
-        return encode_pieces(texts, self.kept, self.learn)
+        if len(self.known) > KEPT:
+            self.known = shorter(self.known)
+        return encode_pieces(texts, self.kept, lambda new: self.learn(new, self.kept, self.known, self.ask))
 
     def decode(self, ids: bytes) -> bytes:
         """As the library without a decoder: the tokens, special ones too, joined by spaces, in UTF-8."""

@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 
 #: Ids a block should have, lanes, and blocks that are coded side by side.
-BLOCK, LANES, SIDE = 1 << 17, 128, 32
+BLOCK, LANES, SIDE = 1 << 17, 128, 48
 
 #: Mixed weights are in 1/64; order 0 has 2**ORDER0 parts, and the coder 2**TOTAL.
 MIX, ORDER0 = 6, 20

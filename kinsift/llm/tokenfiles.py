@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import os
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from kinsift.llm import rangecoder
-from kinsift.llm.bpe import KEPT, Rules, batched, encode_pieces, public_path, shorter
+from kinsift.llm.bpe import KEPT, Rules, batched, byte_letters, encode_pieces, public_path, shorter
 from kinsift.llm.text import pack, utf8
 from kinsift.operators.skew import join_small
 from kinsift.storage import materialize
@@ -35,8 +36,7 @@ class Library:
     """The tokenizers library, asked once for each distinct word that its own splitting rule gives.
 
     Texts are cut at white space, which no token crosses; a new piece is cut into words by the rule in
-    the vocabulary file, and the library encodes the words that are new. Pieces with special tokens go
-    to the library whole.
+    the vocabulary file, and the library encodes the words that are new. Special tokens are taken out before.
     """
 
     def __init__(self, path: str):
@@ -46,35 +46,23 @@ class Library:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.rules = Rules(path)
+        self.rules, self.letters = Rules(path), dict(enumerate(byte_letters()))
         self.kept: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids of words
 
-    def _ask(self, texts: list[str]) -> list[bytes]:
+    def ask(self, words: list[str]) -> list[bytes]:
+        """The library's model on words that are normalised and cut already, as the letters that stand for their bytes."""
+        tokenize, letters, pack = self.tokenizer.model.tokenize, self.letters, struct.pack
         out = []
-        for a in range(0, len(texts), 4096):
-            out += [np.array(got.ids, "<u4").tobytes() for got in self.tokenizer.encode_batch_fast(texts[a : a + 4096], add_special_tokens=False)]
+        for word in words:
+            ids = [t.id for t in tokenize(word.encode().decode("latin-1").translate(letters))]
+            out.append(pack(f"<{len(ids)}I", *ids))
         return out
 
-    def learn(self, pieces: set[bytes]) -> None:
-        cut, special, new = [], [], {}
-        if len(self.words) > KEPT:
-            self.words = shorter(self.words)
-        for piece in pieces:
-            text = piece.decode("utf-8", "replace")
-            if self.rules.has_special(text):
-                special.append((piece, text))
-            else:
-                words = self.rules.words_of(text)
-                cut.append((piece, words))
-                new.update((w, None) for w in words if w not in self.words)
-        self.words.update(zip(new, self._ask(list(new)), strict=True))
-        known = self.words.__getitem__
-        self.kept.update((piece, b"".join(map(known, words))) for piece, words in cut)
-        self.kept.update(zip((p for p, _ in special), self._ask([t for _, t in special]), strict=True))
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        return encode_pieces(texts, self.kept, self.learn)
+        if len(self.known) > KEPT:
+            self.known = shorter(self.known)
+        return encode_pieces(texts, self.kept, lambda new: self.rules.learn(new, self.kept, self.known, self.ask))
 
 
 @functools.lru_cache(maxsize=1)
