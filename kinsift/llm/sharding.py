@@ -92,7 +92,8 @@ def shuffle(docs: DataFrame, doc_id: str = "doc_id", shards: int = SHARDS, seed:
 
 
 def op4_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Whole documents are dealt; size and text_crc32 are those of the text that arrived in the slot."""
+    dealt = shuffle(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select("doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return shuffle(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    digests = ((F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return dealt.select("doc_id", *digests, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

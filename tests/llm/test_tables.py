@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -109,6 +110,21 @@ def test_shards_are_even_gapless_and_repeatable(spark, odd, empty):
     assert sharding.shuffle(empty).count() == 0
 
 
+def test_shuffle_query_deals_whole_documents(spark, monkeypatch):
+    """The digests are those of the dealt rows: a text that gets lost on the way shows."""
+    docs, seen, real = spark.read.parquet(f"{SMALL}/documents.parquet"), [], sharding.shuffle
+
+    def damaged(rows, *args, **more):
+        seen.append(rows.columns)
+        return real(rows, *args, **more).withColumn("text", F.when(F.col("doc_id") != 3, F.col("text")))
+
+    want = {r.doc_id: (len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in docs.collect()}
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in sharding.op4_shuffle_shards(spark, SMALL).collect()} == want
+    monkeypatch.setattr(sharding, "shuffle", damaged)
+    got = {r.doc_id: (r["size"], r.text_crc32) for r in sharding.op4_shuffle_shards(spark, SMALL).collect()}
+    assert seen == [docs.columns] and got == want | {3: (16, 0)}
+
+
 def test_matrix_has_its_sums_and_the_right_spread():
     m = np.array(sharding.matrix([10, 0, 7, 23], [20, 20], 1))
     assert m.sum(1).tolist() == [10, 0, 7, 23] and m.sum(0).tolist() == [20, 20]
