@@ -3,7 +3,8 @@
 A document's words are streamed through the automaton, which gives the matching statistic of each
 place: the longest suffix ending there that occurs in some template. Maximal long matches are
 chained per template, in the order of both texts, and chains that cover enough of a template become
-labelled spans. Exact phrases add their own labels and places.
+labelled spans. The words that tell a licence from its relatives (versions, variant names) must lie
+whole within one match, so that a chain never skips them. Exact phrases add their own labels and places.
 """
 
 from __future__ import annotations
@@ -44,6 +45,61 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+#: Passages that decide between relatives: a span needs each that its template has, unbroken in the text.
+DECIDING: dict[str, list[str]] = {
+    "apache-2.0": ["apache license version 2"],
+    "gpl-2.0": ["gnu general public license as", "version 2 of"],
+    "gpl-3.0": ["gnu general public license as", "gnu general public license version 3", "version 3 of"],
+    "mpl-2.0": ["mozilla public license v 2"],
+}
+
+
+def _add(label: str, text: str, *deciding: str) -> None:
+    if (label, text) not in TEMPLATES:
+        TEMPLATES.append((label, text))
+    DECIDING[label] = list(dict.fromkeys([*DECIDING.get(label, []), *deciding]))
+
+
+# Creative Commons: every variant by every version's name, and without one.
+for _code, _name in [
+    ("by", "Attribution"),
+    ("by-nc", "Attribution-NonCommercial"),
+    ("by-sa", "Attribution-ShareAlike"),
+    ("by-nd", "Attribution-NoDerivatives"),
+    ("by-nd", "Attribution-NoDerivs"),
+    ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"),
+    ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives"),
+    ("by-nc-nd", "Attribution-NonCommercial-NoDerivs"),
+]:
+    for _version in ("4.0 International ", "3.0 Unported ", "2.5 Generic ", "2.0 Generic ", "1.0 Generic ", ""):
+        _number = _version[:3]
+        _add(f"cc-{_code}", f"This work is licensed under a Creative Commons {_name} {_version}License", f"commons {_name} {_number or 'license'}")
+        _add(f"cc-{_code}", f"Licensed under CC {_code.upper()} {_number}".strip(), f"under cc {_code} {_number}")
+
+for _number in ("2.0", "1.1", "1.0"):
+    for _as in (", Version ", " ", " v"):
+        _add(f"apache-{_number}", f"Licensed under the Apache License{_as}{_number}", f"apache license{_as}{_number.removesuffix('.0') if _number == '2.0' else _number}")
+
+for _label, _name, _number in [
+    ("gpl-2.0", "GNU General Public License", "2"),
+    ("gpl-3.0", "GNU General Public License", "3"),
+    ("lgpl-2.0", "GNU Library General Public License", "2"),
+    ("lgpl-2.1", "GNU Lesser General Public License", "2.1"),
+    ("lgpl-3.0", "GNU Lesser General Public License", "3"),
+    ("agpl-3.0", "GNU Affero General Public License", "3"),
+]:
+    for _as in (", version ", " v"):
+        _add(_label, f"This work is licensed under the {_name}{_as}{_number}", f"{_name}{_as}{_number}")
+    _free = f"This program is free software; you can redistribute it and/or modify it under the terms of the {_name}"
+    _add(_label, f"{_free} version {_number} as published by the Free Software Foundation.")
+    _add(_label, f"{_free} as published by the Free Software Foundation; either version {_number} of the License, or (at your option) any later version.", f"{_name} as", f"version {_number} of")
+
+for _number in ("1.1", "1.0"):
+    _add(f"mpl-{_number}", f'The contents of this file are subject to the Mozilla Public License Version {_number} (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/', f"mozilla public license version {_number}")
+
+#: Words that, right after a span, make it another variant's.
+VARIANTS = ["nc", "nd", "sa", "noncommercial", "noderivatives", "noderivs", "sharealike"]
+
 #: Words of a match that can begin or extend a chain; words that a chain may skip in either text; share of a template that a span must cover.
 LEAST, GAP, COVER = 4, 16, 0.6
 
@@ -119,7 +175,7 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, templates: list[tuple[str, str]], phrases: dict[str, str], least: int = LEAST, gap: int = GAP, cover: float = COVER):
+    def __init__(self, templates: list[tuple[str, str]], phrases: dict[str, str], least: int = LEAST, gap: int = GAP, cover: float = COVER, deciding: dict[str, list[str]] | None = None):
         self.least, self.gap, self.cover = least, gap, cover
         cut = [words_of(text.encode()) for _, text in templates]
         self.ids: dict[bytes, int] = {}
@@ -128,10 +184,13 @@ class Scanner:
                 self.ids.setdefault(w, len(self.ids))
         self.labels, self.sizes = [label for label, _ in templates], [len(w) for w in cut]
         self.automaton = Automaton([[self.ids[w] for w in words] for words in cut])
+        passages = {label: [words_of(p.encode()) for p in of] for label, of in (DECIDING if deciding is None else deciding).items()}
+        self.deciding = [[(k, k + len(p)) for p in passages.get(label, []) for k in range(len(w) - len(p) + 1) if w[k : k + len(p)] == p] for label, w in zip(self.labels, cut, strict=True)]
+        self.variants = {self.ids[v.encode()] for v in VARIANTS if v.encode() in self.ids}
         self.phrases = [([self.ids[w] for w in words_of(p.encode())], label) for p, label in phrases.items()]
 
-    def spans(self, found: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """(label, first word, end, share of the template) of the chains that cover enough."""
+    def spans(self, found: list[tuple[int, int, int]], ids: np.ndarray) -> list[tuple[str, int, int, float]]:
+        """(label, first word, end, share of the template) of the chains that cover enough and have what decides."""
         by_template: dict[int, list[tuple[int, int, int]]] = {}
         for start, size, state in found:
             for number, end in self.automaton.ends[state].items():
@@ -139,17 +198,22 @@ class Scanner:
         out = []
         for number, parts in by_template.items():
             chain: list[int] = []  # first word, end in the text, end in the template, words
+            whole: list[tuple[int, int]] = []  # the chain's matches in the template
             for start, at, size in [*parts, (1 << 60, 0, 0)]:
                 if chain and 0 <= start + size - chain[1] and start - chain[1] <= self.gap and -size < at - chain[2] <= self.gap:
                     new = min(size, start + size - chain[1], at + size - chain[2])
                     if new > 0:
                         chain[1:] = [start + size, at + size, chain[3] + new]
+                        whole.append((at, at + size))
                     continue
-                if chain and chain[3] >= self.cover * self.sizes[number]:
+                if chain and chain[3] >= self.cover * self.sizes[number] and self._decided(number, whole) and not (chain[1] < len(ids) and int(ids[chain[1]]) in self.variants):
                     out.append((self.labels[number], chain[0], chain[1], min(1.0, chain[3] / self.sizes[number])))
-                chain = [start, start + size, at + size, size]
+                chain, whole = [start, start + size, at + size, size], [(at, at + size)]
         return out
 
+    def _decided(self, number: int, whole: list[tuple[int, int]]) -> bool:
+        return all(any(a <= first and end <= b for a, b in whole) for first, end in self.deciding[number])
+
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, str]], list[tuple[str, int, int, float]]]:
         """Number of words, (start, label) of each phrase, spans of templates."""
         words = words_of(text)
@@ -166,7 +230,7 @@ class Scanner:
         found = []
         for a, b in zip(starts[ends - starts >= self.least].tolist(), ends[ends - starts >= self.least].tolist(), strict=True):
             found += [(a + start, size, state) for start, size, state in self.automaton.matches(ids[a:b].tolist(), self.least)]
-        return len(words), base, self.spans(found) if found else []
+        return len(words), base, self.spans(found, ids) if found else []
 
 
 @functools.lru_cache(maxsize=1)

@@ -204,6 +204,44 @@ def test_templates_are_found_even_with_changes():
     assert scanner.scan(b"the software is provided to the public by the authors of this work")[2] == []
 
 
+def spans_of(text):
+    return {x[0] for x in licenses.scanner().scan(f"Notice. {text} and more".encode())[2]}
+
+
+@pytest.mark.parametrize("label, text", licenses.TEMPLATES)
+def test_templates_get_their_own_label_only(label, text):
+    assert spans_of(text) == {label}
+
+
+CC = "This work is licensed under a Creative Commons Attribution"
+FREE = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU"
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        (f"{CC}-NonCommercial 4.0 International License", {"cc-by-nc"}),
+        (f"{CC}-ShareAlike 4.0 International License", {"cc-by-sa"}),
+        (f"{CC}-NoDerivatives 4.0 International License", {"cc-by-nd"}),
+        (f"{CC}-NonCommercial-ShareAlike 3.0 United States License", {"cc-by-nc-sa"}),
+        (f"{CC} 3.0 Germany License", {"cc-by"}),
+        (f"{CC} License", {"cc-by"}),
+        (f"{CC}-Sampling 4.0 International License", set()),
+        ("Licensed under CC BY-NC-SA 4.0", {"cc-by-nc-sa"}),
+        ("Licensed under CC BY-NC", {"cc-by-nc"}),
+        ("This work is licensed under the GNU General Public License, version 2", {"gpl-2.0"}),
+        ("This work is licensed under the GNU General Public License, version 7", set()),
+        (f"{FREE} Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", {"lgpl-2.1"}),
+        (f"{FREE} Other General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", set()),
+        ("Licensed under the Apache License, Version 1.1", {"apache-1.1"}),
+        ("Licensed under the Apache License, Version 2.0", {"apache-2.0"}),
+        ("Licensed under the Apache License of the project", set()),
+    ],
+)
+def test_variants_are_told_apart(text, labels):
+    assert spans_of(text) == labels
+
+
 def test_phrases_equal_plain(spark, odd, odd_rows, empty):
     docs = odd.select("doc_id", "text").union(spark.createDataFrame([(900, "Apache-License, CC BY CC by gnu General public GNU general public license MIT licensed mit LICENSE")], "doc_id long, text string"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
