@@ -52,6 +52,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 
 def links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     """(a, b): for each table entry with several fingerprints, its members linked to the smallest."""
+    if DISTANCE > 2:
+        raise ValueError("entries are midpoints of radius one: links beyond distance 2 would be lost")
     bits = 64 // SEGMENTS
     balls = [F.transform(F.sequence(F.lit(bits * s), F.lit(bits * s + bits - 1)), lambda i: F.col(fp).bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))) for s in range(SEGMENTS)]
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -179,6 +179,12 @@ def test_links_join_what_is_two_bits_apart(spark):
     assert sorted(map(len, groups.values())) == [2, 4]
 
 
+def test_a_distance_that_entries_cannot_reach_is_refused(monkeypatch):
+    monkeypatch.setattr(simhash, "DISTANCE", 3)
+    with pytest.raises(ValueError, match="distance 2"):
+        simhash.links(None)
+
+
 def test_near_dedup_keeps_one_of_each_group(odd, empty):
     left = simhash.deduplicate(odd)
     assert left.columns == odd.columns
