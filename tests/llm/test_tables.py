@@ -166,23 +166,62 @@ def test_near_groups_equal_all_pairs(spark, odd, odd_rows):
     assert Counter(map(tuple, got)) == plain_near(rows)
 
 
-def test_links_join_what_is_two_bits_apart(spark):
-    base = 0x0123456789ABCDEF
-    fps = [base, base ^ 1, base ^ (1 << 40) ^ 1, base ^ (1 << 63) ^ (1 << 2), base ^ 0b11100000, 0, 3, -1]
-    signed = [f - (1 << 64) if f >= 1 << 63 else f for f in fps]
+def signed(fps):
+    return [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+
+
+def groups_of(spark, fps, **more):
     from kinsift.operators.components import connected_components
 
-    got = connected_components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")), "a", "b").collect()
-    groups = defaultdict(set)
-    for r in got:
-        groups[r.component].add(r.node)
-    assert sorted(map(len, groups.values())) == [2, 4]
+    found = defaultdict(set)
+    for r in connected_components(simhash.links(spark.createDataFrame(signed(fps), "fp long"), **more), "a", "b").collect():
+        found[r.component].add(r.node)
+    return sorted(map(sorted, found.values()))
 
 
-def test_a_distance_that_entries_cannot_reach_is_refused(monkeypatch):
-    monkeypatch.setattr(simhash, "DISTANCE", 3)
+def plain_groups(fps, distance):
+    left, out = set(fps), []
+    while left:
+        group, todo = set(), [left.pop()]
+        while todo:
+            f = todo.pop()
+            group.add(f)
+            near = {g for g in left if (f ^ g).bit_count() <= distance}
+            left -= near
+            todo += near
+        if len(group) > 1:
+            out.append(sorted(f[0] for f in signed(group)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("distance, segments, crowd", [(2, 2, 64), (2, 2, 3), (2, 3, 64), (1, 2, 64), (1, 1, 64), (0, 1, 64), (2, 4, 5)])
+def test_links_equal_all_pairs(spark, distance, segments, crowd):
+    rng = np.random.default_rng(distance + segments)
+    fps = {int(x) for x in rng.integers(0, 1 << 64, 150, np.uint64)}
+    for f in list(fps):  # neighbours at one to four bits, some in one segment alone
+        for flips in (1, 2, 3, 4):
+            for bits in (range(64), range(32)):
+                fps.add(f ^ sum(1 << int(b) for b in rng.choice(list(bits), flips, False)))
+    base = 0x0123456789ABCDEF  # a crowd that shares a segment, most of it far apart
+    fps |= {base ^ (int(x) << 32) for x in rng.integers(0, 1 << 32, 120)} | {base ^ (1 << k) for k in range(64)} | {0, (1 << 64) - 1}
+    assert groups_of(spark, fps, distance=distance, segments=segments, crowd=crowd) == plain_groups(fps, distance)
+
+
+def test_radii_follow_from_the_pigeonhole_rule():
+    assert simhash.radii(2, 2) == [1, 0] and simhash.radii(2, 3) == [0, 0, 0] and simhash.radii(3, 2) == [1, 1] and simhash.radii(1, 2) == [0, 0] and simhash.radii(1, 4) == [0, 0, -1, -1]
+
+
+def test_verification_rejects_what_shares_a_segment(spark, monkeypatch):
+    fps, seen, real = [5, 5 ^ (0b111 << 40), 5 ^ (0b11 << 40)], [], F.bit_count
+    monkeypatch.setattr(simhash.F, "bit_count", lambda c: seen.append(c) or real(c) - 64)
+    assert simhash.links(spark.createDataFrame(signed(fps), "fp long")).count() == 3 and seen
+    monkeypatch.setattr(simhash.F, "bit_count", real)
+    assert simhash.links(spark.createDataFrame(signed(fps), "fp long")).count() == 2
+
+
+def test_a_distance_beyond_the_balls_is_refused(spark):
     with pytest.raises(ValueError, match="distance 2"):
-        simhash.links(None)
+        simhash.links(spark.createDataFrame(signed([1]), "fp long"), distance=3)
 
 
 def test_near_dedup_keeps_one_of_each_group(odd, empty):
