@@ -12,8 +12,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-import unicodedata
+import os
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import regex
@@ -23,15 +24,20 @@ from kinsift.llm.text import map_texts
 
 VOCABULARY = "word_bpe_49k.json"
 
-#: Distinct pieces (and words) that a worker keeps encoded; beyond this the long ones go.
-KEPT = 300_000
+#: Entries of each of a worker's two tables, of encoded pieces and of words, and bytes of the longest key that stays in
+#: one: together they bound its memory. Beyond KEPT the longer ones go, which are the rare ones.
+KEPT, LONG = 150_000, 24
 
 #: Stands between the ids of pieces; no id is as large, and ids leave zero bytes that keep it from appearing across two.
 GAP = b"\xff" * 4
 
-#: Bytes of text whose new pieces are encoded together.
+#: Bytes of text whose new pieces are encoded together; longer texts are cut at white space and joined again.
 BATCH = 4 << 20
 
+#: Pieces with other characters than these go through the library's own normaliser and pre-tokeniser (those that may
+#: hold a special token, too). The class and the lower case of the rest are the same in all versions of Unicode, and none combines.
+UNSETTLED = regex.compile("[^\x00-\u024f\u2010-\u2027]|<\\|")
+
 
 def public_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -51,40 +57,50 @@ class Rules:
     """How a vocabulary file of the tokenizers library normalises texts and cuts them into words."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
-            self.spec = spec = json.load(f)
+            spec = json.load(f)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern.replace("\\s", "\\p{White_Space}") + "|\\n")
+        bare = spec | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}
+        self.library = Tokenizer.from_str(json.dumps(bare))  # normaliser and pre-tokeniser alone
+        self.bytes_of = {ord(c): b for b, c in enumerate(byte_letters())}
+        self.setup(spec)
 
-    def has_special(self, text: str) -> bool:
-        return "<|" in text and self.split_special.search(text) is not None
-
-    @staticmethod
-    def normal(text: str) -> str:
-        """NFC and lower case, character by character: a sigma is an inner one wherever it stands."""
-        if text.isascii():
-            return text.lower()
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    def setup(self, spec: dict) -> None:
+        """What a subclass takes from the vocabulary file, which is not kept."""
 
-    def words_of(self, pieces: list[bytes]) -> list[str]:
-        """The words of pieces without white space and special tokens, each piece's followed by a line end."""
-        return self.words.findall(self.normal(b"\n".join([*pieces, b""]).decode("utf-8", "replace")))
+    def words_of(self, piece: str) -> list[str]:
+        """The words of one piece without special tokens, by the library."""
+        cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
+        return [word.translate(self.bytes_of).encode("latin-1").decode() for word, _ in cut]
 
     def learn(self, pieces: Iterable[bytes], kept: dict[bytes, bytes], known: dict[str, bytes], ask: Callable[[list[str]], list[bytes]]) -> None:
         """Puts the ids of pieces into kept. known has the ids of words; ask gives those of new ones."""
-        plain, special = [], []
-        for piece in pieces:
-            (special if b"<|" in piece and self.has_special(piece.decode("utf-8", "replace")) else plain).append(piece)
-        words = self.words_of(plain)
+        plain, rare, special = list(pieces), [], []
+        text = b"\n".join([*plain, b""]).decode("utf-8", "replace")
+        if odd := {text[text.rfind("\n", 0, m.start()) + 1 : text.index("\n", m.start())].encode() for m in UNSETTLED.finditer(text)}:
+            plain = [p for p in plain if p not in odd]
+            for piece in odd:
+                (special if b"<|" in piece and self.split_special.search(piece.decode()) else rare).append(piece)
+            text = b"\n".join([*plain, b""]).decode("utf-8", "replace")
+        words = self.words.findall(text.lower())
+        for piece in rare:
+            words += [*self.words_of(piece.decode()), "\n"]
         new = list(set(words).difference(known, ("\n",)))
         known.update(zip(new, ask(new), strict=True))
         known["\n"] = GAP
-        kept.update(zip(plain, b"".join(map(known.__getitem__, words)).split(GAP)))
+        kept.update(zip(chain(plain, rare), b"".join(map(known.__getitem__, words)).split(GAP)))
+        for word in new:
+            if len(word) > LONG:
+                del known[word]
         for piece in special:
             own = b""
-            for k, part in enumerate(self.split_special.split(piece.decode("utf-8", "replace"))):
+            for k, part in enumerate(self.split_special.split(piece.decode())):
                 if k % 2:
                     own += self.special[part].to_bytes(4, "little")
                 elif part:
@@ -96,9 +112,7 @@ class Rules:
 class Bpe(Rules):
     """A vocabulary file of the tokenizers library: BPE with word ends, lower case, NFC."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        spec = self.spec
+    def setup(self, spec: dict) -> None:
         vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         letters = byte_letters()
@@ -160,8 +174,7 @@ class Bpe(Rules):
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > KEPT:
-            self.known = shorter(self.known)
+        shorten(self.known)
         return encode_pieces(texts, self.kept, lambda new: self.learn(new, self.kept, self.known, self.ask))
 
     def decode(self, ids: bytes) -> bytes:
@@ -169,30 +182,53 @@ class Bpe(Rules):
         return b" ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def shorter(kept: dict) -> dict:
-    """The entries whose keys have at most six letters, which are the frequent ones, if they are few enough."""
-    left = {k: v for k, v in kept.items() if len(k) <= 6}
-    return left if 2 * len(left) <= KEPT else {}
+def shorten(kept: dict, new: int = 0) -> None:
+    """Takes out the longer keys when kept and ``new`` more entries are over KEPT; all, if that leaves half of it."""
+    if len(kept) + new > KEPT:
+        for key in [k for k in kept if len(k) > 6]:
+            del kept[key]
+        if 2 * len(kept) > KEPT:
+            kept.clear()
+
+
+def slices(text: bytes, most: int) -> Iterator[bytes]:
+    """Parts of at most ``most`` bytes, or one piece, whose pieces are those of the text."""
+    while len(text) > most:
+        at = next((k for k in range(most, 0, -1) if text[k - 1] in b" \t\n\v\f\r"), 0)
+        at = at or next((k for k in range(most, len(text)) if text[k] in b" \t\n\v\f\r"), len(text))
+        yield text[:at]
+        text = text[at:]
+    yield text
 
 
 def encode_pieces(texts: list[bytes], kept: dict[bytes, bytes], learn: Callable[[set[bytes]], None]) -> list[bytes]:
     """Joins the ids of each text's pieces, which ``learn`` puts into ``kept`` when they are new."""
+    if len(texts) == 1:
+        return [b"".join(_joined([part], kept, learn)[0] for part in slices(texts[0], BATCH))]
+    return _joined(texts, kept, learn)
+
+
+def _joined(texts: list[bytes], kept: dict[bytes, bytes], learn: Callable[[set[bytes]], None]) -> list[bytes]:
     cut = [t.split() for t in texts]
     new = set().union(*cut).difference(kept)
-    if len(kept) + len(new) > KEPT:
-        left = shorter(kept)
-        kept.clear()
-        kept.update(left)
-        new = set().union(*cut).difference(kept)
+    shorten(kept, len(new))
+    new = new.union(*cut).difference(kept) if new else new
     if new:
         learn(new)
-    return [b"".join(map(kept.__getitem__, pieces)) for pieces in cut]
+    out = [b"".join(map(kept.__getitem__, pieces)) for pieces in cut]
+    for piece in new:
+        if len(piece) > LONG:
+            del kept[piece]
+    return out
 
 
 def batched(pairs: Iterator[tuple], most: int = BATCH) -> Iterator[list[tuple]]:
-    """Documents in lists of about ``most`` bytes of text."""
+    """Documents in lists of about ``most`` bytes of text; a longer one stands alone."""
     held, size = [], 0
     for pair in pairs:
+        if held and size + len(pair[1]) > most:
+            yield held
+            held, size = [], 0
         held.append(pair)
         size += len(pair[1])
         if size >= most or len(held) >= 4096:
@@ -208,8 +244,7 @@ def load(path: str) -> Bpe:
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """(doc_id, ids, decoded): each row's token ids (binary, little-endian unsigned 32-bit) and the text
-    they decode to.
+    """(doc_id, ids): each row's token ids (binary, little-endian unsigned 32-bit).
 
     Special tokens in a text are found as the library finds them; none are added. Null texts count as
     empty and have no ids. Repeated rows stay repeated, null ids stay null, other columns are not
@@ -220,10 +255,21 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     def rows(pairs: Iterator[tuple]) -> Iterator[tuple]:
         bpe = load(path)
         for part in batched(pairs):
-            for (i, _), ids in zip(part, bpe.encode([t for _, t in part]), strict=True):
-                yield i, ids, bpe.decode(ids)
+            yield from zip((i for i, _ in part), bpe.encode([t for _, t in part]), strict=True)
+
+    return map_texts(docs, doc_id, text, "doc_id bigint, ids binary", rows)
+
+
+def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
+    """(doc_id, decoded): the texts that ids decode to, in UTF-8; null ids count as none."""
+    path = path or public_path()
+
+    def rows(pairs: Iterator[tuple]) -> Iterator[tuple]:
+        bpe = load(path)
+        for i, x in pairs:
+            yield i, bpe.decode(x)
 
-    return map_texts(docs, doc_id, text, "doc_id bigint, ids binary, decoded binary", rows)
+    return map_texts(encoded, doc_id, ids, "doc_id bigint, decoded binary", rows)
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -45,8 +46,8 @@ class Model:
         block = np.repeat(np.arange(blocks, dtype=np.int64), lanes)
         self.off0, self.off2, self.off8 = block * self.alphabet, block * SLOTS, block * 8
         self.key = block << (ORDER0 + 1)
-        self.one = np.zeros(blocks * self.alphabet, np.int64)  # id * 8 + confidence; confidence 0: nothing known
-        self.two = np.zeros(blocks * SLOTS, np.int64)
+        self.one = np.zeros(blocks * self.alphabet, np.int32)  # id * 8 + confidence; confidence 0: nothing known
+        self.two = np.zeros(blocks * SLOTS, np.int32)
         self.tried = np.zeros((2, blocks * 8, 2), np.int64)  # for each confidence: wrong, right
         self.counts = np.zeros((blocks, self.alphabet), np.int64)
         self.last, self.before = np.zeros(len(block), np.int64), np.zeros(len(block), np.int64)
@@ -128,6 +129,19 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
+def _alike(members: list[int], steps: list[int]) -> Iterator[list[int]]:
+    """At most SIDE members at a time, in order of falling steps, none with less than half the steps of the first:
+    their common arrays are hardly larger than what they hold, whatever the longest block."""
+    part: list[int] = []
+    for i in members:
+        if part and (len(part) == SIDE or 2 * steps[i] < steps[part[0]]):
+            yield part
+            part = []
+        part.append(i)
+    if part:
+        yield part
+
+
 def _settle(low: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Lanes that have 16 bits to emit, their range cut so that these are settled."""
     same, short = (low ^ (low + size)) < 1 << UNIT, size < BOTTOM
@@ -144,15 +158,14 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     for i in sorted(range(len(blocks)), key=lambda i: -_shape(len(blocks[i]))[1]):
         by_lanes.setdefault(_shape(len(blocks[i]))[0], []).append(i)
     for lanes, members in by_lanes.items():
-        for a in range(0, len(members), SIDE):
-            part = members[a : a + SIDE]
+        for part in _alike(members, [_shape(len(b))[1] for b in blocks]):
             for i, data in zip(part, _encode([blocks[i] for i in part], lanes), strict=True):
                 out[i] = data
     return out
 
 
 def _alphabet(ids: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(ids, prepend=0).astype("<u4").tobytes(), 9)
+    return zlib.compress(np.diff(ids, prepend=0).astype("<u4").tobytes(), 1)
 
 
 def _encode(blocks: list[np.ndarray], lanes: int) -> list[bytes]:
@@ -209,8 +222,7 @@ def decode(blocks: list[bytes]) -> list[np.ndarray]:
             raise ValueError("damaged block")
         groups.setdefault(heads[i][4], []).append(i)
     for lanes, members in groups.items():
-        for a in range(0, len(members), SIDE):
-            part = members[a : a + SIDE]
+        for part in _alike(members, [_shape(h[1])[1] for h in heads]):
             tables = [HEAD.size + heads[i][6] for i in part]
             used = [np.cumsum(np.frombuffer(zlib.decompress(blocks[i][HEAD.size : t]), "<u4")) for i, t in zip(part, tables, strict=True)]
             for i, ids in zip(part, _decode([blocks[i][t:] for i, t in zip(part, tables, strict=True)], [heads[i][1] for i in part], used, lanes), strict=True):

@@ -19,7 +19,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 def utf8(text: str) -> Column:
     """The text's UTF-8 bytes; null counts as empty."""
-    return F.coalesce(F.col(text), F.lit("")).cast("binary")
+    return F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
 
 
 def map_texts(docs: DataFrame, doc_id: str, text: str, schema: str, rows: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:

@@ -9,9 +9,8 @@ reaches will do. Every block is decoded by itself, wherever it is read.
 from __future__ import annotations
 
 import functools
-import os
-import struct
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from kinsift.llm import rangecoder
-from kinsift.llm.bpe import KEPT, Rules, batched, byte_letters, encode_pieces, public_path, shorter
+from kinsift.llm.bpe import Rules, batched, byte_letters, encode_pieces, public_path, shorten
 from kinsift.llm.text import pack, utf8
 from kinsift.operators.skew import join_small
 from kinsift.storage import materialize
@@ -36,32 +35,30 @@ class Library:
     """The tokenizers library, asked once for each distinct word that its own splitting rule gives.
 
     Texts are cut at white space, which no token crosses; a new piece is cut into words by the rule in
-    the vocabulary file, and the library encodes the words that are new. Special tokens are taken out before.
+    the vocabulary file, or by the library's normaliser and pre-tokeniser where it has characters that
+    versions of Unicode see differently, and the library's model encodes the words that are new.
+    Special tokens are taken out before.
     """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
+        self.rules, self.letters = Rules(path), dict(enumerate(byte_letters())) | {10: "\n"}  # no word holds a line end
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.rules, self.letters = Rules(path), dict(enumerate(byte_letters()))
         self.kept: dict[bytes, bytes] = {}
         self.known: dict[str, bytes] = {}  # ids of words
 
     def ask(self, words: list[str]) -> list[bytes]:
         """The library's model on words that are normalised and cut already, as the letters that stand for their bytes."""
-        tokenize, letters, pack = self.tokenizer.model.tokenize, self.letters, struct.pack
-        out = []
-        for word in words:
-            ids = [t.id for t in tokenize(word.encode().decode("latin-1").translate(letters))]
-            out.append(pack(f"<{len(ids)}I", *ids))
-        return out
+        tokenize, out = self.tokenizer.model.tokenize, []
+        for word in "\n".join(words).encode().decode("latin-1").translate(self.letters).split("\n") if words else ():
+            out.append([t.id for t in tokenize(word)])
+        flat = np.fromiter(chain.from_iterable(out), "<u4").tobytes()
+        ends = list(accumulate([4 * len(x) for x in out], initial=0))
+        return [flat[a:b] for a, b in pairwise(ends)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > KEPT:
-            self.known = shorter(self.known)
+        shorten(self.known)
         return encode_pieces(texts, self.kept, lambda new: self.rules.learn(new, self.kept, self.known, self.ask))
 
 

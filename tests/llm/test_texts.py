@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import random
 import re
 import wave
 import zlib
@@ -48,6 +49,41 @@ def test_bpe_with_a_full_cache(monkeypatch, library):
         assert np.frombuffer(own.encode([text.encode()])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def equal_to_library(library, texts):
+    own, asked = bpe.load(bpe.public_path()), tokenfiles.library(bpe.public_path())
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        ids = np.array(want.ids, "<u4").tobytes()
+        for coder in (own, asked):
+            assert coder.encode([text.encode()]) == [ids], ascii(text)
+
+
+def test_every_letter_as_the_library_has_it(library):
+    """Also those that this Python's Unicode and the library's see differently."""
+    points = [chr(c) for c in [*range(1, 0x20000), *range(0xE0000, 0xE0200)] if not 0xD800 <= c < 0xE000]
+    equal_to_library(library, [" ".join(f"a{c}B {c}{c} e{c}" for c in points[k : k + 500]) for k in range(0, len(points), 500)])
+
+
+def test_mixed_texts_as_the_library_has_them(library):
+    rng = random.Random(5)
+    pool = [chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x80, 0x250), rng.randrange(0x300, 0x370), rng.randrange(0x250, 0xD800), rng.randrange(0xE000, 0x20000)])) for _ in range(2000)]
+    pool += ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "\x85", "\xa0", " ", "\n", "'s", "Σ"] * 30
+    equal_to_library(library, ["".join(rng.choices(pool, k=rng.randrange(1, 15))) for _ in range(3000)])
+
+
+@pytest.mark.parametrize("most", [1, 7, 30])
+def test_slices_keep_pieces_whole(most):
+    text = " ab cde\tf\n\nghijklmnopqrstuvwxyz  é 12 ".encode()
+    parts = list(bpe.slices(text, most))
+    assert b"".join(parts) == text and [p for part in parts for p in part.split()] == text.split()
+    assert all(len(p) <= most or len(p.split()) == 1 for p in parts)
+
+
+def test_long_texts_are_encoded_in_slices(monkeypatch, library):
+    monkeypatch.setattr(bpe, "BATCH", 50)
+    text = "It's a naïve text <|endoftext|> of some words, " * 40
+    assert bpe.Bpe(bpe.public_path()).encode([text.encode()]) == [np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 def test_bpe_query_columns(odd, odd_rows, empty, library):
     want = Counter()
     for r in odd_rows:
@@ -55,7 +91,9 @@ def test_bpe_query_columns(odd, odd_rows, empty, library):
         want[r[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
     assert Counter(map(tuple, bpe.digests(odd).collect())) == want
     assert bpe.digests(empty).count() == bpe.encode(empty).count() == 0
-    assert bpe.encode(odd).count() == len(odd_rows)
+    assert Counter((r.doc_id, len(r.ids) // 4) for r in bpe.encode(odd).collect()) == Counter(x[:2] for x in want.elements())
+    decoded = bpe.decode(bpe.encode(odd)).collect()
+    assert Counter((r.doc_id, hashlib.sha256(r.decoded).hexdigest()) for r in decoded) == Counter((x[0], x[3]) for x in want.elements())
 
 
 def test_merges_out_of_order_are_refused(tmp_path):
@@ -89,6 +127,22 @@ def test_blocks_do_not_depend_on_each_other():
     assert all((a == b).all() for a, b in zip(back, blocks, strict=True))
 
 
+def test_one_long_block_needs_no_more_than_itself():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    short, long = [rng.integers(0, 3000, 2000) for _ in range(40)], rng.integers(0, 3000, 400_000)
+
+    def peak(blocks):
+        tracemalloc.start()
+        assert all((a == b).all() for a, b in zip(rangecoder.decode(rangecoder.encode(blocks)), blocks, strict=True))
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top
+
+    assert peak([*short, long]) < 1.2 * (peak(short) + peak([long]))
+
+
 def test_prediction_pays():
     ids = np.tile(np.random.default_rng(1).integers(0, 40000, 50), 400)
     assert len(rangecoder.encode([ids])[0]) < len(ids) * 2 / 6
