@@ -32,6 +32,16 @@ SHINGLE, SEED, DISTANCE, SEGMENTS = 3, 42, 2, 2
 CROWD = 64
 
 
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def majority(sums: np.ndarray, n: int) -> int:
+    """The bits that over half of n hashes have, as a signed 64-bit integer."""
+    return int(np.packbits(2 * sums > n, bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED, step: int = 1 << 15) -> int:
     """SimHash of the word shingles, repeats included, as a signed 64-bit integer; 0 without words."""
     words = text.translate(LOWER).split()
@@ -41,20 +51,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED, step: int
     for start in range(0, n, step):  # very long texts: a bounded number of shingles at a time
         part = words[start : min(start + step, n) + shingle - 1]
         each = map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-        h = np.array([xxhash.xxh64_intdigest(s, seed) for s in each], "<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<i8")[0])
+        total += bit_sums(np.array([xxhash.xxh64_intdigest(s, seed) for s in each], "<u8"))
+    return majority(total, n)
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp, own) of every row; null texts count as empty. own is Spark's xxhash64 of the text."""
+    """(doc_id, fp) of every row; null texts count as empty."""
 
     def rows(pairs: Iterator[tuple]) -> Iterator[tuple]:
         for i, x in pairs:
-            own = xxhash.xxh64_intdigest(x, 42)
-            yield i, fingerprint(x, shingle, seed), own - (own >> 63 << 64)
+            yield i, fingerprint(x, shingle, seed)
 
-    return map_texts(docs, doc_id, text, "doc_id bigint, fp bigint, own bigint", rows)
+    return map_texts(docs, doc_id, text, "doc_id bigint, fp bigint", rows)
 
 
 def segment(fp: Column, number: int, segments: int) -> Column:
@@ -107,18 +115,6 @@ def links(distinct: DataFrame, fp: str = "fp", distance: int = DISTANCE, segment
     return found.distinct()
 
 
-def _components(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int) -> DataFrame:
-    """(doc_id, fp, own, component_id) for every row."""
-    fps = materialize(fingerprints(docs, doc_id, text, shingle, seed), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
-    found = connected_components(links(nodes.select("fp")), "a", "b")
-    linked = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
-    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    table = materialize(linked.join(ids, "component").select("fp", "n", "component_id"), "components")
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return attach(fps, table, "fp", F.col("doc_id"), "n", ["component_id"], total)
-
-
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
@@ -128,18 +124,16 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     carries several texts counts once for each; null ids are never the smallest (a component of
     null ids only has a null id). An empty table gives no rows.
     """
-    out = _components(docs, doc_id, text, shingle, seed)
+    fps = materialize(fingerprints(docs, doc_id, text, shingle, seed), "fingerprints")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    found = connected_components(links(nodes.select("fp")), "a", "b")
+    linked = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
+    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    table = materialize(linked.join(ids, "component").select("fp", "n", "component_id"), "components")
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    out = attach(fps, table, "fp", F.col("doc_id"), "n", ["component_id"], total)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: the one with the smallest id. Rows with a null id stay.
-
-    Rows go by id and text, so that of an id with several texts only the near copies leave.
-    """
-    drop = _components(docs, doc_id, text, SHINGLE, SEED).filter("component_id < doc_id").select(F.col("doc_id").alias("_drop"), F.col("own").alias("_own")).distinct()
-    return docs.join(drop, (F.col(doc_id) == F.col("_drop")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_own")), "left_anti")
-
-
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
