@@ -180,22 +180,32 @@ def test_forward_sums_all_segmentations():
     rng = np.random.default_rng(0)
     weights = language.normal(rng.random((len(table.names) + 1, 2)))
     number = {p: k for k, p in enumerate(table.names)}
+    assert table.longest == max(map(len, number)) > 8
 
-    def total(word):
-        if not word:
-            return np.ones(2)
-        out = language.UNKNOWN * total(word[1:])
-        for n in range(1, min(language.LONGEST, len(word)) + 1):
-            if word[:n] in number:
-                out = out + weights[number[word[:n]]] * total(word[n:])
-        return out
+    def logs(word):
+        total = [np.zeros(2)]
+        for b in range(1, len(word) + 1):
+            ways = [total[b - 1] + np.log(language.UNKNOWN)] + [total[a] + np.log(weights[number[word[a:b]]]) for a in range(b) if word[a:b] in number]
+            total.append(np.logaddexp.reduce(ways))
+        return total[-1]
 
-    words = ["▁the", "▁straße", "▁q", "▁漢字", "▁notation"]
-    assert language.log_words(words, table, weights) == pytest.approx(np.log([total(w) for w in words]))
-    # expected pieces: each segmentation's pieces weighted by its share
-    counts = language.expected(["▁the"], np.array([1]), np.array([2.0]), table, weights)
-    letters = sum(len(p) * c for p, c in zip(table.names, counts[:, 1], strict=False))
-    assert letters == pytest.approx(2 * 4, rel=1e-3) and counts[:, 0].sum() == 0
+    words = ["▁the", "▁straße", "▁q", "▁漢字", "▁internationalisation", "▁" + "information" * 5, "▁" + "information" * 9, "▁" + "x" * 700]
+    assert language.log_words(words, table, weights) == pytest.approx(np.array([logs(w) for w in words]))
+    # expected pieces: each segmentation's pieces weighted by its share, in short and in long words
+    for word in ("▁the", "▁" + "information" * 9):
+        counts = language.expected([word, "▁a"], np.array([1, 0]), np.array([2.0, 1.0]), table, weights)
+        letters = sum(len(p) * c for p, c in zip(table.names, counts[:, 1], strict=False))
+        assert letters == pytest.approx(2 * len(word), rel=1e-3) and counts[-1].sum() == 0
+
+
+def test_letters_of_the_background():
+    known = np.array(sorted(map(ord, "▁ab")), np.uint32)
+    logs = np.log([0.2, 0.3, 0.5])  # a, b, and the mark
+    assert language.log_letters(["▁a", "▁bb", "▁z"], (known, logs, -9.0)) == pytest.approx([np.log(0.5 * 0.2), np.log(0.5 * 0.3 * 0.3), np.log(0.5) - 9])
+
+
+def test_words_are_letters_with_their_marks():
+    assert language.words_of("It's 4 हिन्दी, x9y ́ ÉÉ") == ["▁its", "▁हिन्दी", "▁xy", "▁éé"]
 
 
 def test_languages_of_held_out_documents(spark):
@@ -204,7 +214,35 @@ def test_languages_of_held_out_documents(spark):
     got = language.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").filter(language.held_out()).collect()
     assert got and sum(r.lang == r.lang_pred for r in got) / len(got) >= 0.95
     again = language.fit(docs.filter(~language.held_out()).repartition(5))
-    assert again[0] == model[0] and np.allclose(again[1], model[1])
+    assert again.languages == model.languages and np.allclose(again.weights, model.weights)
+
+
+def test_language_query(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = language.op9_language(spark, SMALL).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
+
+
+def test_texts_of_no_language_go(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language.fit(docs)
+    rng = random.Random(2)
+    junk = ["qwx zzvk jjqp xkcd vvbq zxzx qqpk", " ".join("".join(rng.choices("qxzjkvwpyg", k=7)) for _ in range(40)), "漢字かな交じり文", "12 34"]
+    more = spark.createDataFrame([(900_000 + k, t, None, None, 0) for k, t in enumerate(junk)], docs.schema)
+    left = {r.doc_id for r in language.keep(docs.unionByName(more), model).collect()}
+    assert not left & set(range(900_000, 900_010))
+    lost = [r for r in docs.collect() if r.doc_id not in left and len(r.text.split()) >= 20]
+    assert not lost
+    scores = {r.doc_id: r.score for r in language.predict(more, model).collect()}
+    assert all(s < 0.5 for s in scores.values())
+
+
+def test_too_many_labels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    with pytest.raises(ValueError, match="labels"):
+        language.fit(spark.createDataFrame([(k, "some text", f"l{k}") for k in range(9)], "doc_id long, text string, lang string"))
 
 
 def test_texts_without_a_language(spark, odd, odd_rows, empty):
@@ -219,7 +257,8 @@ def test_texts_without_a_language(spark, odd, odd_rows, empty):
     assert kept.columns == odd.columns and kept.count() <= len(odd_rows) - sum(und.values())
     assert language.predict(empty, model).count() == language.keep(empty, model).count() == 0
     nothing = language.fit(empty)
-    assert nothing[0] == [] and {r.lang_pred for r in language.predict(odd, nothing).collect()} == {"und"}
+    assert nothing.languages == [] and {r.lang_pred for r in language.predict(odd, nothing).collect()} == {"und"}
+    assert language.keep(odd, nothing).count() == len(odd_rows) - sum(und.values())
 
 
 # ---- licences -----------------------------------------------------------------------------------
