@@ -26,13 +26,13 @@ VOCABULARY = "word_bpe_49k.json"
 
 #: Entries of each of a worker's two tables, of encoded pieces and of words, and bytes of the longest key that stays in
 #: one: together they bound its memory. Beyond KEPT the longer ones go, which are the rare ones.
-KEPT, LONG = 150_000, 24
+KEPT, LONG = 120_000, 24
 
 #: Stands between the ids of pieces; no id is as large, and ids leave zero bytes that keep it from appearing across two.
 GAP = b"\xff" * 4
 
 #: Bytes of text whose new pieces are encoded together; longer texts are cut at white space and joined again.
-BATCH = 4 << 20
+BATCH = 1 << 20
 
 #: Pieces with other characters than these go through the library's own normaliser and pre-tokeniser (those that may
 #: hold a special token, too). The class and the lower case of the rest are the same in all versions of Unicode, and none combines.
@@ -177,6 +177,9 @@ class Bpe(Rules):
         shorten(self.known)
         return encode_pieces(texts, self.kept, lambda new: self.learn(new, self.kept, self.known, self.ask))
 
+    def forget(self) -> None:
+        self.kept, self.known = {}, {}
+
     def decode(self, ids: bytes) -> bytes:
         """As the library without a decoder: the tokens, special ones too, joined by spaces, in UTF-8."""
         return b" ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -256,6 +259,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
         bpe = load(path)
         for part in batched(pairs):
             yield from zip((i for i, _ in part), bpe.encode([t for _, t in part]), strict=True)
+        bpe.forget()
 
     return map_texts(docs, doc_id, text, "doc_id bigint, ids binary", rows)
 
@@ -281,6 +285,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
         for part in batched(pairs):
             for (i, _), ids in zip(part, bpe.encode([t for _, t in part]), strict=True):
                 yield i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
+        bpe.forget()
 
     return map_texts(docs, doc_id, text, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", rows)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinsift.llm.bpe import batched, public_path
-from kinsift.llm.text import map_texts
+from kinsift.llm.text import map_texts, release
 from kinsift.storage import materialize
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -361,6 +361,8 @@ def keep(docs: DataFrame, model: Model, text: str = "text", sure: float = SURE,
                 else:
                     stays = [bool(words_of(x)) for x in held]
                 yield batch.slice(part[0][0], len(part)).filter(pa.array(stays, pa.bool_()))
+        del scorer
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

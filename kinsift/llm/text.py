@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -35,12 +37,20 @@ def map_texts(docs: DataFrame, doc_id: str, text: str, schema: str, rows: Callab
                 yield from zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1)), strict=True)
 
         yield from pack(rows(pairs()), kinds)
+        release()
 
     out = StructType.fromDDL(schema)
     kinds = to_arrow_schema(out)
     return docs.select(F.col(doc_id).cast("bigint").alias("_id"), utf8(text).alias("_text")).mapInArrow(run, out)
 
 
+def release() -> None:
+    """Gives what a partition has freed back to the system: a worker that waits for its next task should hold little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries than glibc have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pack(rows: Iterator[tuple], kinds: pa.Schema, most: int = 2000, heavy: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Tuples to record batches of bounded size."""
 

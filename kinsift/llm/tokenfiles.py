@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 
 from kinsift.llm import rangecoder
 from kinsift.llm.bpe import Rules, batched, byte_letters, encode_pieces, public_path, shorten
-from kinsift.llm.text import pack, utf8
+from kinsift.llm.text import pack, release, utf8
 from kinsift.operators.skew import join_small
 from kinsift.storage import materialize
 
@@ -57,6 +57,9 @@ class Library:
         ends = list(accumulate([4 * len(x) for x in out], initial=0))
         return [flat[a:b] for a, b in pairwise(ends)]
 
+    def forget(self) -> None:
+        self.kept, self.known = {}, {}
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         shorten(self.known)
         return encode_pieces(texts, self.kept, lambda new: self.rules.learn(new, self.kept, self.known, self.ask))
@@ -95,6 +98,7 @@ def write(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
                     names.append(i)
                     held.append(own)
                     size += len(own)
+            coder.forget()
             if held:
                 yield names, held
 
@@ -117,6 +121,7 @@ def write(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
                 yield from coded()
 
         yield from pack(rows(), kinds)
+        release()
 
     ordered = docs.select(F.col(doc_id).cast("bigint").alias("_id"), utf8(text).alias("_text")).repartitionByRange("_id").sortWithinPartitions("_id")
     return materialize(ordered.mapInArrow(run, out), "tokens", compression="none")
@@ -146,6 +151,7 @@ def read(files: DataFrame) -> DataFrame:
                             at += n
 
         yield from pack(rows(), kinds)
+        release()
 
     return placed.mapInArrow(run, out)
 
