@@ -1,9 +1,9 @@
 """Licence scans with a generalised suffix automaton over the words of licence templates.
 
 A document's words are streamed through the automaton, which gives the matching statistic of each
-place: the longest suffix ending there that occurs in some template. Maximal long matches are
-chained per template, in the order of both texts, and chains that cover enough of a template become
-labelled spans. The words that tell a licence from its relatives (versions, variant names) must lie
+place: the longest suffix ending there that occurs in some template. Maximal long matches, at every place
+of the template that has them, are chained per template, in the order of both texts, by dynamic
+programming over what a chain covers, and chains that cover enough of a template become labelled spans. The words that tell a licence from its relatives (versions, variant names) must lie
 whole within one match, so that a chain never skips them. Exact phrases add their own labels and places.
 """
 
@@ -18,6 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinsift.llm.text import map_texts
 
+#: UTF-8 bytes to word bytes: ASCII letters in lower case, digits and all bytes above 127 as they are, the rest to spaces.
+FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+
+
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(FOLD).split()
+
+
 # Phrases and the labels that they stand for.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -97,23 +105,39 @@ for _label, _name, _number in [
 for _number in ("1.1", "1.0"):
     _add(f"mpl-{_number}", f'The contents of this file are subject to the Mozilla Public License Version {_number} (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/', f"mozilla public license version {_number}")
 
+# Short names, with their versions.
+for _label, _names in {
+    "gpl-2.0": ["GNU General Public License version 2", "GNU General Public License v2"],
+    "gpl-3.0": ["GNU General Public License version 3", "GNU General Public License v3"],
+    "lgpl-2.1": ["GNU Lesser General Public License version 2.1", "GNU Lesser General Public License v2.1"],
+    "lgpl-3.0": ["GNU Lesser General Public License version 3", "GNU Lesser General Public License v3"],
+    "agpl-3.0": ["GNU Affero General Public License version 3", "GNU Affero General Public License v3"],
+    "epl-1.0": ["Eclipse Public License 1.0", "Eclipse Public License version 1.0", "Eclipse Public License v1.0"],
+    "epl-2.0": ["Eclipse Public License 2.0", "Eclipse Public License version 2.0", "Eclipse Public License v2.0"],
+    "mpl-2.0": ["Mozilla Public License 2.0", "Mozilla Public License version 2.0"],
+    "artistic-1.0": ["Artistic License 1.0", "Artistic License version 1.0"],
+    "artistic-2.0": ["Artistic License 2.0", "Artistic License version 2.0"],
+    "bsd-2-clause": ["BSD 2-Clause License", "Simplified BSD 2-Clause License"],
+    "bsd-3-clause": ["BSD 3-Clause License", "New or Revised BSD 3-Clause License"],
+    "boost-1.0": ["Boost Software License Version 1.0", "Boost Software License 1.0"],
+    "zlib": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
+}.items():
+    for _name in _names:
+        _add(_label, _name, *([_name] if len(words_of(_name.encode())) < 12 else []))
+
+# Identifiers in source files.
+for _label, _code in [("mit", "MIT"), ("isc", "ISC"), ("apache-2.0", "Apache-2.0"), ("gpl-2.0", "GPL-2.0"), ("gpl-3.0", "GPL-3.0"), ("lgpl-2.1", "LGPL-2.1"), ("lgpl-3.0", "LGPL-3.0"), ("agpl-3.0", "AGPL-3.0"), ("mpl-2.0", "MPL-2.0"), ("bsd-2-clause", "BSD-2-Clause"), ("bsd-3-clause", "BSD-3-Clause"), ("epl-2.0", "EPL-2.0"), ("unlicense", "Unlicense"), ("zlib", "Zlib"), ("cc0", "CC0-1.0")]:
+    _add(_label, f"SPDX-License-Identifier: {_code}", f"license identifier {_code}")
+
 #: Words that, right after a span, make it another variant's.
 VARIANTS = ["nc", "nd", "sa", "noncommercial", "noderivatives", "noderivs", "sharealike"]
 
 #: Words of a match that can begin or extend a chain; words that a chain may skip in either text; share of a template that a span must cover.
 LEAST, GAP, COVER = 4, 16, 0.6
 
-#: UTF-8 bytes to word bytes: ASCII letters in lower case, digits and all bytes above 127 as they are, the rest to spaces.
-FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(FOLD).split()
-
-
 class Automaton:
     """Generalised suffix automaton: states with transitions by word id, suffix links and lengths;
-    ends[s] holds, for each text that the state's strings occur in, where they first end."""
+    ends[s] holds, for each text that the state's strings occur in, all places where they end."""
 
     def __init__(self, texts: list[list[int]]):
         self.next, self.link, self.length, self.ends = [{}], [-1], [0], [{}]
@@ -121,11 +145,11 @@ class Automaton:
             state = 0
             for at, word in enumerate(text):
                 state = self._extend(state, word)
-                self.ends[state].setdefault(number, at + 1)
+                self.ends[state].setdefault(number, set()).add(at + 1)
         for s in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
             up = self.ends[self.link[s]]
             for number, at in self.ends[s].items():
-                up[number] = min(at, up.get(number, at))
+                up.setdefault(number, set()).update(at)
 
     def _add(self, length: int, copied: int | None = None) -> int:
         self.next.append({} if copied is None else dict(self.next[copied]))
@@ -183,6 +207,7 @@ class Scanner:
             for w in words:
                 self.ids.setdefault(w, len(self.ids))
         self.labels, self.sizes = [label for label, _ in templates], [len(w) for w in cut]
+        self.longest = max(self.sizes, default=0)
         self.automaton = Automaton([[self.ids[w] for w in words] for words in cut])
         passages = {label: [words_of(p.encode()) for p in of] for label, of in (DECIDING if deciding is None else deciding).items()}
         self.deciding = [[(k, k + len(p)) for p in passages.get(label, []) for k in range(len(w) - len(p) + 1) if w[k : k + len(p)] == p] for label, w in zip(self.labels, cut, strict=True)]
@@ -193,22 +218,34 @@ class Scanner:
         """(label, first word, end, share of the template) of the chains that cover enough and have what decides."""
         by_template: dict[int, list[tuple[int, int, int]]] = {}
         for start, size, state in found:
-            for number, end in self.automaton.ends[state].items():
-                by_template.setdefault(number, []).append((start, end - size, size))
+            for number, ends in self.automaton.ends[state].items():
+                by_template.setdefault(number, []).extend((start, end - size, size) for end in sorted(ends))
         out = []
         for number, parts in by_template.items():
-            chain: list[int] = []  # first word, end in the text, end in the template, words
-            whole: list[tuple[int, int]] = []  # the chain's matches in the template
-            for start, at, size in [*parts, (1 << 60, 0, 0)]:
-                if chain and 0 <= start + size - chain[1] and start - chain[1] <= self.gap and -size < at - chain[2] <= self.gap:
-                    new = min(size, start + size - chain[1], at + size - chain[2])
-                    if new > 0:
-                        chain[1:] = [start + size, at + size, chain[3] + new]
-                        whole.append((at, at + size))
-                    continue
-                if chain and chain[3] >= self.cover * self.sizes[number] and self._decided(number, whole) and not (chain[1] < len(ids) and int(ids[chain[1]]) in self.variants):
-                    out.append((self.labels[number], chain[0], chain[1], min(1.0, chain[3] / self.sizes[number])))
-                chain, whole = [start, start + size, at + size, size], [(at, at + size)]
+            if sum(size for _, _, size in parts) < self.cover * self.sizes[number]:
+                continue
+            best, before = [size for *_, size in parts], [-1] * len(parts)
+            for i, (start, at, size) in enumerate(parts):
+                for j in range(i - 1, -1, -1):  # starts fall; a match that ended more than the gap before is followed by none
+                    first, place, words = parts[j]
+                    if start - first > self.gap + self.longest:
+                        break
+                    past, there = start + size - first - words, at + size - place - words  # how far this one goes beyond that one
+                    new = min(size, past, there)
+                    if new > 0 and past - size <= self.gap and there - size <= self.gap and best[j] + new > best[i]:
+                        best[i], before[i] = best[j] + new, j
+            used: set[int] = set()
+            for i in sorted(range(len(parts)), key=lambda i: -best[i]):
+                if best[i] < self.cover * self.sizes[number]:
+                    break
+                chain = [i]
+                while before[chain[-1]] >= 0:
+                    chain.append(before[chain[-1]])
+                first, end = parts[chain[-1]][0], parts[i][0] + parts[i][2]
+                whole = [(parts[k][1], parts[k][1] + parts[k][2]) for k in chain]
+                if used.isdisjoint(chain) and self._decided(number, whole) and not (end < len(ids) and int(ids[end]) in self.variants):
+                    used.update(chain)
+                    out.append((self.labels[number], first, end, min(1.0, best[i] / self.sizes[number])))
         return out
 
     def _decided(self, number: int, whole: list[tuple[int, int]]) -> bool:

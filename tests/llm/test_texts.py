@@ -282,7 +282,7 @@ def test_automaton_equals_all_substrings():
         got = list(automaton.matches(words, 2))
         assert [(a, n) for a, n, _ in got] == plain_matches(words, texts, 2)
         for a, n, state in got:
-            want = {k: e for k, t in enumerate(texts) for e in [next((e for e in range(n, len(t) + 1) if t[e - n : e] == words[a : a + n]), None)] if e}
+            want = {k: e for k, t in enumerate(texts) if (e := {e for e in range(n, len(t) + 1) if t[e - n : e] == words[a : a + n]})}
             assert automaton.ends[state] == want
 
 
@@ -335,6 +335,49 @@ def test_variants_are_told_apart(text, labels):
     assert spans_of(text) == labels
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("GNU Affero General Public License version 3", {"agpl-3.0"}),
+        ("GNU Lesser General Public License, version 2.1", {"lgpl-2.1"}),
+        ("Eclipse Public License 2.0", {"epl-2.0"}),
+        ("Artistic License 2.0", {"artistic-2.0"}),
+        ("BSD 3-Clause License", {"bsd-3-clause"}),
+        ("SPDX-License-Identifier: MIT", {"mit"}),
+        ("SPDX-License-Identifier: LGPL-3.0", {"lgpl-3.0"}),
+        ("Eclipse Public License 3.0", set()),
+    ],
+)
+def test_short_names(text, labels):
+    assert spans_of(text) == labels
+
+
+def test_a_chain_goes_on_after_a_phrase_of_its_own_template():
+    """What is put in also stands in the template, at another place."""
+    words = licenses.TEMPLATES[9][1].split()
+    assert licenses.TEMPLATES[9][0] == "gpl-3.0"
+    three = words.index("3")
+    for at in set(range(5, len(words) - 5, 3)) - set(range(18, 22)) - {three, three + 1}:  # not inside a deciding passage
+        text = " ".join([*words[:at], "see the GNU General Public License first", *words[at:]])
+        _, _, spans = licenses.scanner().scan(text.encode())
+        assert "gpl-3.0" in {s[0] for s in spans}, at
+
+
+def test_license_query(spark):
+    """Base columns of the whole query against plain ones; score and labels from the spans."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    for r in licenses.op7_licenses(spark, SMALL).collect():
+        words = word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in docs[r.doc_id] or ""))
+        places = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        spans = licenses.scanner().scan((docs[r.doc_id] or "").encode())[2]
+        assert (r.n_words, r.n_base) == (len(words), len(places))
+        assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert r.base_labels == ",".join(sorted({x for _, x in places}))
+        assert r.labels == ",".join(sorted({x for _, x in places} | {s[0] for s in spans}))
+        assert r.score == max([0.5 if places else 0.0, *(s[3] for s in spans)])
+
+
 def test_phrases_equal_plain(spark, odd, odd_rows, empty):
     docs = odd.select("doc_id", "text").union(spark.createDataFrame([(900, "Apache-License, CC BY CC by gnu General public GNU general public license MIT licensed mit LICENSE")], "doc_id long, text string"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
