@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinsift.llm.text import renamed, restored
 from kinsift.operators.skew import attach
 from kinsift.storage import materialize
 
@@ -39,8 +40,9 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: i
     cannot be told apart: all carry kept = true here, and deduplicate() returns one of them. Further
     columns pass through; columns named like the results are replaced. An empty table gives no rows.
     """
-    names = ("keep_id", "group_size", "kept", "text_sha256")
-    docs = docs.drop(*(c for c in names if c not in (doc_id, text)))
+    given, results = [doc_id, text], ("keep_id", "group_size", "kept", "text_sha256")
+    docs, names = renamed(docs.drop(*(c for c in results if c not in given)))
+    doc_id, text = names[doc_id], names[text]
     whole = F.coalesce(F.col(text), F.lit(""))
     found = materialize(winners(docs, doc_id, text, salts, digest).drop("_text"), "texts")
     total, texts, digests = found.agg(F.coalesce(F.sum("group_size"), F.lit(0)), F.count("*"), F.count_distinct("_digest")).first()
@@ -52,20 +54,23 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: i
         out = attach(rows.join(shared, "_digest", "left_anti").select(rows.columns), found.join(shared, "_digest", "left_anti"), "_digest", F.col(doc_id), "group_size", ["keep_id", "group_size"], total)
         clash = rows.join(shared, "_digest", "left_semi").select(rows.columns)
         out = out.unionByName(clash.join(winners(clash.drop("_digest"), doc_id, text, salts, digest).drop("_digest"), whole == F.col("_text")).select(out.columns))
-    return out.select(*docs.columns, "keep_id", "group_size", F.col(doc_id).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select(*restored(names), "keep_id", "group_size", F.col(doc_id).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each distinct text: the one with the largest id.
 
-    Only rows whose id occurs more than once are compared again, by id and content.
+    All columns pass through, whatever their names. Only rows whose id occurs more than once are
+    compared again, by id and content. An empty table gives no rows.
     """
+    docs, names = renamed(docs)
+    doc_id, text = names[doc_id], names[text]
     kept = report(docs, doc_id, text).filter("kept").select(*docs.columns)
     again = docs.groupBy(F.col(doc_id).alias("_again")).count().filter("count > 1").select("_again")
-    if again.isEmpty():
-        return kept
-    same = F.col(doc_id).eqNullSafe(F.col("_again"))
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([doc_id, text]))
+    if not again.isEmpty():
+        same = F.col(doc_id).eqNullSafe(F.col("_again"))
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([doc_id, text]))
+    return kept.select(restored(names))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinsift.llm.text import WORD
+from kinsift.llm.text import WORD, renamed, restored
 from kinsift.operators.skew import join_small
 from kinsift.storage import materialize
 
@@ -59,7 +59,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     ``most``; taken = copies * size. Depends on ids and seed alone, so reruns agree. Null sources are
     one source, the last; sources and documents without words take nothing. Repeated rows have equal
     ranks and are taken in any order, which gives the same rows. doc_weight names a column of
-    relative inclusion weights within a source (null or negative: 0).
+    relative inclusion weights within a source (null or negative: 0). Other columns are not looked at;
+    an empty table gives no rows.
     """
     own = F.greatest(F.coalesce(F.col(doc_weight).cast("double"), F.lit(0.0)), F.lit(0.0)) if doc_weight else F.lit(1.0)
     sized = materialize(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), own.alias("_own")), "sizes")
@@ -106,10 +107,12 @@ def repeat(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text
     """The mix itself: each row of docs as many times as the mix takes it, documents without words left out.
 
     ids must be unique, as they are after exact dedup; a repeated id takes the smallest number of copies.
+    All columns pass through, whatever their names. An empty table gives no rows.
     """
     taken = mix(docs, doc_id, source, text, **more).filter("copies > 0 and size > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.min("copies").alias("_copies"))
-    out = docs.join(taken, F.col(doc_id).eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    docs, names = renamed(docs)
+    out = docs.join(taken, F.col(names[doc_id]).eqNullSafe(F.col("_id")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(restored(names))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinsift.llm.text import renamed, restored
 from kinsift.storage import materialize
 
 SHARDS, SEED, ROWS = 40, 11, 4096
@@ -64,31 +65,36 @@ def matrix(rows: list[int], columns: list[int], seed: int) -> list[list[int]]:
 def shuffle(docs: DataFrame, doc_id: str = "doc_id", shards: int = SHARDS, seed: int = SEED, rows: int = ROWS) -> DataFrame:
     """docs with shard (int) and slot (long): a uniform shuffle, shard sizes at most one apart.
 
-    slot counts each shard from 0 without gaps. Depends on ids, their number, shards and seed. Rows
-    that share an id are dealt in any order among themselves. Null ids are one hash class. Columns
-    of docs named shard or slot are replaced. An empty table gives no rows.
+    slot counts each shard from 0 without gaps. Depends on the rows, their number, shards and seed. Rows
+    that repeat an id, or have none, are spread by their content; rows that are equal throughout fall into
+    one hash class and take its places in any order, which gives the same rows. Columns of docs named shard
+    or slot are replaced, all others pass through. An empty table gives no rows.
     """
-    docs = docs.drop("shard", "slot")
+    docs, names = renamed(docs.drop("shard", "slot"))
+    key = F.col(names[doc_id])
     total = docs.count()
     parts = min(MOST_PARTITIONS, max(1, math.ceil(total / rows)))
-    placed = docs.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(parts)).cast("int"))
+    # rows of one id (or of none) are told apart by their content, so that no id is a class of its own
+    content = F.xxhash64(*[c for c, kind in docs.dtypes if not kind.startswith("map")])
+    placed = docs.withColumn("_at", F.xxhash64(F.lit(seed), key, content))
+    placed = placed.withColumn("_part", F.pmod("_at", F.lit(parts)).cast("int"))
     counts = dict(placed.groupBy("_part").count().collect())  # at most MOST_PARTITIONS rows
     sizes = [total // shards + (j < total % shards) for j in range(shards)]
     drawn = matrix([counts.get(p, 0) for p in range(parts)], sizes, seed)
-    table = docs.sparkSession.createDataFrame([(p, np.cumsum(line).tolist()) for p, line in enumerate(drawn)], "_part int, _ends array<bigint>")
+    table = docs.sparkSession.createDataFrame([(p, np.cumsum(line).tolist()) for p, line in enumerate(drawn)], "_row int, _ends array<bigint>")
     # permute locally and deal by the partition's row of the matrix
-    local = Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed + 1), F.col(doc_id)), doc_id)
-    dealt = placed.withColumn("_turn", F.row_number().over(local)).join(F.broadcast(table), "_part")
-    dealt = dealt.withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_turn"))).cast("int"))
+    local = Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed + 1), "_at"), "_at")
+    dealt = placed.withColumn("_turn", F.row_number().over(local)).join(F.broadcast(table), F.col("_part") == F.col("_row"))
+    dealt = dealt.withColumn("_shard", F.size(F.filter("_ends", lambda e: e < F.col("_turn"))).cast("int"))
     # exchange, and permute again: a random piece, then a random order within the piece
     pieces = max(1, math.ceil(total / shards / rows))
-    dealt = dealt.withColumn("_piece", F.pmod(F.xxhash64(F.lit(seed + 2), F.col(doc_id)), F.lit(pieces)).cast("int"))
-    dealt = materialize(dealt.drop("_part", "_ends"), "dealt")
-    held = dealt.groupBy("shard", "_piece").agg(F.count("*").alias("_n"))
-    before = held.select("shard", "_piece", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_piece")) - F.col("_n")).alias("_before"))
-    again = Window.partitionBy("shard", "_piece").orderBy(F.xxhash64(F.lit(seed + 3), F.col(doc_id)), doc_id, "_turn")
-    out = dealt.withColumn("_at", F.row_number().over(again)).join(before, ["shard", "_piece"])
-    return out.select(*docs.columns, "shard", (F.col("_before") + F.col("_at") - 1).alias("slot"))
+    dealt = dealt.withColumn("_piece", F.pmod(F.xxhash64(F.lit(seed + 2), "_at", "_turn"), F.lit(pieces)).cast("int"))
+    dealt = materialize(dealt.drop("_part", "_row", "_ends"), "dealt")
+    held = dealt.groupBy("_shard", "_piece").agg(F.count("*").alias("_n"))
+    before = held.select(F.col("_shard").alias("_s"), F.col("_piece").alias("_p"), (F.sum("_n").over(Window.partitionBy("_shard").orderBy("_piece")) - F.col("_n")).alias("_before"))
+    again = Window.partitionBy("_shard", "_piece").orderBy(F.xxhash64(F.lit(seed + 3), "_at"), "_at", "_turn")
+    out = dealt.withColumn("_place", F.row_number().over(again)).join(before, (F.col("_shard") == F.col("_s")) & (F.col("_piece") == F.col("_p")))
+    return out.select(*restored(names), F.col("_shard").alias("shard"), (F.col("_before") + F.col("_place") - 1).alias("slot"))
 
 
 def op4_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,17 @@ def utf8(text: str) -> Column:
     return F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns under names that no operator uses for its own, and those names by the old ones."""
+    names = {name: f"in_{k}" for k, name in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def restored(names: dict[str, str]) -> list[Column]:
+    """The columns of renamed() under their own names again."""
+    return [F.col(new).alias(old) for old, new in names.items()]
+
+
 def map_texts(docs: DataFrame, doc_id: str, text: str, schema: str, rows: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
     """Runs ``rows`` over (id, UTF-8 bytes) of every document, in Arrow batches, without a shuffle.
 

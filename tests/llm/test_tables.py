@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kinsift.llm import exact, mixing, sharding, simhash, substring
+from kinsift.llm import exact, mixing, near, sharding, simhash, substring
 from kinsift.llm.queries import QUERIES, SQL
 from tests.llm.conftest import SMALL
 from tests.oracle import assert_same
@@ -47,6 +47,41 @@ def test_exact_deduplicate_keeps_one_of_each_text(odd, odd_rows, empty):
     assert exact.report(empty).count() == exact.deduplicate(empty).count() == 0
 
 
+CLASHES = ["_id", "_text", "_digest", "_salt", "_again", "_copies", "_copy", "_part", "_piece", "_turn", "_at", "_shard", "_drop", "_own", "kept", "keep_id", "in_0", "count"]
+
+
+@pytest.mark.parametrize("stage", [exact.deduplicate, exact.report, mixing.repeat, near.deduplicate, lambda d: sharding.shuffle(d, shards=3, rows=4)], ids=["exact", "report", "repeat", "near", "shuffle"])
+def test_columns_named_like_inner_ones_pass_through(spark, stage):
+    rows = [(k, f"text number {k % 7} of some", "s", *[f"{c}{k}" for c in CLASHES]) for k in range(20)] + [(3, "another text", "s", *["again"] * len(CLASHES))]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *[f"{c} string" for c in CLASHES]]))
+    got = stage(docs)
+    lost = {"kept", "keep_id"} if stage is exact.report else set()  # replaced by results
+    names = [c for c in docs.columns if c not in lost]
+    assert [c for c in got.columns if c in names] == names
+    known = {tuple(r[c] for c in names) for r in docs.collect()}
+    assert got.count() and {tuple(r[c] for c in names) for r in got.collect()} <= known
+
+
+def test_shuffle_splits_rows_of_one_id(spark):
+    """A third of the rows without an id are spread over the classes like all others."""
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    a, b = (sorted(map(str, sharding.shuffle(docs.repartition(n), shards=7, rows=50).collect())) for n in (3, 5))
+    assert a == b
+    nameless = Counter(r.shard for r in sharding.shuffle(docs, shards=7, rows=50).collect() if r.doc_id is None)
+    assert len(nameless) == 7 and max(nameless.values()) < 2 * min(nameless.values())
+
+
+def test_shuffle_query_equals_its_law(spark):
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = sharding.op4_shuffle_shards(spark, SMALL).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in rows} == {i: (len(t) + 16, zlib.crc32(t)) for i, t in docs.items()}
+    assert {(r.law, r.grown_shard) for r in rows} == {("rows", None)} and len(rows) == len(docs)
+    sizes = Counter(r.shard for r in rows)
+    assert set(sizes) == set(range(40)) and max(sizes.values()) - min(sizes.values()) <= 1
+    for s in sizes:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sizes[s]))
+
+
 # ---- mixing -------------------------------------------------------------------------------------
 
 
