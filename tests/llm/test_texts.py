@@ -468,14 +468,19 @@ def test_pipeline_stages(spark, tmp_path, library):
     docs.unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     from kinsift.llm import mixing
-    from tests.llm.test_tables import plain_near
 
     rows = {r.doc_id: r for r in docs.collect()}
     last = {}
     for r in rows.values():
         last[r.text] = max(last.get(r.text, -1), r.doc_id)
     texts = [(i, t) for t, i in last.items()]
-    near = {i: c for (i, _, c) in plain_near(texts)}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts if (w := "".join(c.lower() if "A" <= c <= "Z" else c for c in t).split()) and t.strip()}
+    near = {i: i for i, _ in texts}  # components of all pairs at 0.8 or more
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and near[a] != near[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                low, high = sorted((near[a], near[b]))
+                near = {i: low if c == high else c for i, c in near.items()}
     left = sorted(i for i, c in near.items() if i == c)
     kept = spark.createDataFrame([tuple(rows[i]) for i in left], docs.schema)
     copies = {r.doc_id: r.copies for r in mixing.mix(kept).collect() if r.copies and r["size"]}
