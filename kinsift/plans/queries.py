@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinsift.functions import dates, fmt
@@ -12,9 +14,9 @@ from kinsift.functions import text as T
 from kinsift.operators import anchors, detect, merge, rank, select
 from kinsift.plans.config import ScanConfig
 from kinsift.plans.fixtures import view, with_views
-from kinsift.plans.resolve import resolve
-from kinsift.sources import catalog, report, signatures
-from kinsift.storage import materialize
+from kinsift.plans.resolve import find_claims, resolve
+from kinsift.sources import catalog, regions, report, signatures
+from kinsift.storage import materialize, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,14 +44,15 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.with_keys(tracks(spark, sf_dir), unicode=False)
+    """Tracks with their keys, computed once."""
+    return materialize(detect.with_keys(tracks(spark, sf_dir), unicode=False), "keys")
 
 
 def tag_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of tracks with one tag key, numbered by their smallest id; confidence by rule of the number."""
     rows = detect.buckets(keyed(spark, sf_dir), F.col("tag_key"))
     ids = rows.groupBy("key").agg(F.min("file_id").alias("gid"))
-    return rows.join(ids, "key").withColumn("match_method", F.lit("tag"))
+    return materialize(rows.join(ids, "key").withColumn("match_method", F.lit("tag")), "members")
 
 
 def confidences(members: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ def marked_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tag_members(spark, sf_dir)
     best = rank.best_rows(rows)
     rows = rows.join(best, "gid").withColumn("best", F.col("path") == F.col("best_path")).drop("best_path")
-    return rows.withColumn("marked", F.col("file_id") % 5 == 0)
+    return materialize(rows.withColumn("marked", F.col("file_id") % 5 == 0), "marked")
 
 
 def nrm(x: str) -> str:
@@ -219,7 +222,22 @@ def name_groups(spark, sf_dir):
     return _bucket(spark, sf_dir, "name_key")
 
 
-@query()
+WORDS = rf"list_sort(list_distinct(list_filter(list_transform(string_split(artist, ' & '), lambda x: {nrm('x')}), lambda x: length(x) >= 2)))"
+AGREE = "len(list_intersect(free[1].w, x.w)) = least(len(free[1].w), len(x.w)) and (free[1].d = 0 or x.d = 0 or abs(free[1].d - x.d) <= 2.5)"
+
+
+@query(
+    with_views("tracks")
+    + rf""",
+c as (select file_id, path, duration as d, {CORE} as core, {WORDS} as w from tracks),
+k as (select core as key, list({{'id': file_id, 'w': w, 'd': d}} order by path) as free from c where len(w) > 0 and length(core) >= 3 group by core having count(*) between 2 and 60),
+hop(key, free) as (
+  select key, free from k
+  union all
+  select key, list_filter(free[2:], lambda x: not ({AGREE})) from hop where len(free) > 1),
+g as (select key || '|' || free[1].id as key, free[1].id as anchor, list_filter(free[2:], lambda x: {AGREE}) as own from hop where len(free) > 1)
+select key, unnest(list_prepend(anchor, list_transform(own, lambda x: x.id))) as file_id from g where len(own) > 0"""
+)
 def feat_groups(spark, sf_dir):
     return detect.same_song(keyed(spark, sf_dir)).select("key", "file_id")
 
@@ -430,9 +448,14 @@ def visible_totals(spark, sf_dir):
     return select.visible_totals(tag_members(spark, sf_dir))
 
 
-@query(TAG + " select gid, file_id, bitrate from s")
+@query(TAG + " select gid, file_id, bitrate, cast(row_number() over (order by gid, bitrate desc, path) as bigint) as place from s")
 def sorted_members(spark, sf_dir):
-    return rank.sorted_members(tag_members(spark, sf_dir), "bitrate", False).select("gid", "file_id", "bitrate")
+    """place: a row's number in the order that the operator gives, its partitions being ranges of that order."""
+    rows = rank.sorted_members(tag_members(spark, sf_dir), "bitrate", False).select("gid", "file_id", "bitrate", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("turn"))
+    rows = materialize(rows, "sorted")
+    before = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("turn").alias("first"))
+    before = before.select("part", "first", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("done"))  # a row per partition
+    return rows.join(F.broadcast(before), "part").select("gid", "file_id", "bitrate", (F.col("done") + F.col("turn") - F.col("first") + 1).alias("place"))
 
 
 @query(TAG + ", g as (select gid, row_number() over (order by gid) as n from (select distinct gid from s)) select n as gid, gid as \"group\", greatest(0, (select count(*) from g) - 100) as cut from g where n <= 100")
@@ -542,15 +565,38 @@ def jalali_dates(spark, sf_dir):
     return view(spark, sf_dir, "dates").select("file_id", dates.jalali(F.col("d")).alias("j")).select("file_id", "j.year", "j.month", "j.day")
 
 
-@query(
+MONTH_LIST = "[" + ", ".join(f"'{m}'" for m in dates.MONTHS) + "]"
+JALALI = (
     with_views("dates")
-    + """, n as (select file_id, date_diff('day', d, date '1998-08-02') as n from dates)
-select file_id, case when n < 0 or n >= 30 then 'date' when n = 0 then 'امروز' when n = 1 then 'دیروز' else translate(cast(case when n < 7 then n else n // 7 end as varchar), '0123456789', '۰۱۲۳۴۵۶۷۸۹') || case when n < 7 then ' روز پیش' else ' هفته پیش' end end as said from n"""
+    + """,
+n as (select file_id, d, date_diff('day', date '1600-01-01', d) - 79 as n, date_diff('day', d, date '1998-08-02') as ago from dates),
+c as (select *, n // 12053 as cycles, n % 12053 as k from n),
+f as (select *, k // 1461 as fours, k % 1461 as r from c),
+y as (select *, case when r >= 366 then (r - 1) // 365 else 0 end as later, case when r >= 366 then (r - 1) % 365 else r end as t from f),
+j as (select file_id, d, ago, 979 + 33 * cycles + 4 * fours + later as year, case when t < 186 then t // 31 else 6 + (t - 186) // 30 end + 1 as month, case when t < 186 then t % 31 else (t - 186) % 30 end + 1 as day from y),
+w as (select *, """
+    + f"""translate(day || ' ' || {MONTH_LIST}[month] || ' ' || year, '0123456789', '۰۱۲۳۴۵۶۷۸۹') as long_text,
+  translate(year || '/' || lpad(cast(month as varchar), 2, '0') || '/' || lpad(cast(day as varchar), 2, '0'), '0123456789', '۰۱۲۳۴۵۶۷۸۹') as short_text from j)"""
+)
+
+
+@query(
+    JALALI
+    + """
+select file_id, case when ago < 0 or ago >= 30 then long_text when ago = 0 then 'امروز' when ago = 1 then 'دیروز' else translate(cast(case when ago < 7 then ago else ago // 7 end as varchar), '0123456789', '۰۱۲۳۴۵۶۷۸۹') || case when ago < 7 then ' روز پیش' else ' هفته پیش' end end as said from w"""
 )
 def relative_dates(spark, sf_dir):
-    rows = view(spark, sf_dir, "dates")
-    said = dates.relative(F.col("d"), F.lit("1998-08-02").cast("date"))
-    return rows.select("file_id", F.when(said == dates.jalali_long(F.col("d")), "date").otherwise(said).alias("said"))
+    return view(spark, sf_dir, "dates").select("file_id", dates.relative(F.col("d"), F.lit("1998-08-02").cast("date")).alias("said"))
+
+
+@query(
+    JALALI
+    + """
+select file_id, case when file_id % 10 = 0 then '—' else short_text end as fa_date, case when file_id % 10 = 0 then '—' else strftime(d, '%Y-%m-%d') end as en_date, long_text, short_text from w"""
+)
+def date_forms(spark, sf_dir):
+    time = F.when(F.col("file_id") % 10 != 0, F.col("d").cast("timestamp"))
+    return view(spark, sf_dir, "dates").select("file_id", dates.date_text(time, "fa").alias("fa_date"), dates.date_text(time, "en").alias("en_date"), dates.jalali_long(F.col("d")).alias("long_text"), dates.jalali_short(F.col("d")).alias("short_text"))
 
 
 @query(with_views("dates") + " select file_id, strftime(d, '%Y-%m-%d') || case when file_id % 3 = 0 then ' 10:20:30' when file_id % 3 = 1 then ' 10:20:00' else ' 00:00:00' end as at from dates")
@@ -563,12 +609,106 @@ def stored_times(spark, sf_dir):
 @query(
     with_views("tracks")
     + r"""
-select file_id, cast(bitrate // 1000 as varchar) || ' kbps' as bitrate_text, case when file_id % 100 = 0 then '—' else cast(s // 60 as varchar) || ':' || lpad(cast(s % 60 as varchar), 2, '0') end as duration_text,
-  cast(size // 1024 as varchar) || ' KB' as size_text, case when len(p) <= 2 then f else '…\' || p[-2] || '\' || p[-1] end as folder_text
-from (select *, file_id % 100 as s, regexp_replace(path, '/[^/]*$', '') as f, list_filter(string_split(regexp_replace(path, '/[^/]*$', ''), '/'), lambda x: x <> '') as p from tracks)"""
+select file_id, cast(bitrate // 1000 as varchar) || ' kbps' as bitrate_text,
+  case when s = 0 then '—' when s >= 3600 then (s // 3600) || ':' || lpad(cast(s % 3600 // 60 as varchar), 2, '0') || ':' || lpad(cast(s % 60 as varchar), 2, '0') else (s // 60) || ':' || lpad(cast(s % 60 as varchar), 2, '0') end as duration_text,
+  case when b < 1024 then b || ' B' when b >= 1048576 then printf(case when b >= 104857600 then '%.0f MB' else '%.1f MB' end, case when b >= 104857600 then round_even(b / 1048576, 0) else round_even(b / 1048576, 1) end)
+    when b >= 102400 then printf('%.0f KB', round_even(b / 1024, 0)) else printf('%.1f KB', round_even(b / 1024, 1)) end as size_text,
+  case when len(p) <= 2 then f else '…\' || p[-2] || '\' || p[-1] end as folder_text
+from (select *, file_id % 9000 as s, case file_id % 4 when 0 then size % 2000 when 1 then size * 300 else size end as b, regexp_replace(path, '/[^/]*$', '') as f, list_filter(string_split(regexp_replace(path, '/[^/]*$', ''), '/'), lambda x: x <> '') as p from tracks)""".replace("\\\\", "\\")
 )
 def human_units(spark, sf_dir):
     rows = view(spark, sf_dir, "tracks").withColumn("folder", T.folder_of(F.col("path")))
-    whole = F.floor(F.col("size") / 1024) * 1024  # whole KB of 100 and more, 64 to 99 with one decimal
-    size = F.regexp_replace(fmt.size_text(whole, "en"), r"\.0 ", " ")
-    return rows.select("file_id", fmt.bitrate_text(F.col("bitrate"), "en").alias("bitrate_text"), fmt.duration_text(F.col("file_id") % 100, "en").alias("duration_text"), size.alias("size_text"), T.short_folder(F.col("folder")).alias("folder_text"))
+    size = F.when(F.col("file_id") % 4 == 0, F.col("size") % 2000).when(F.col("file_id") % 4 == 1, F.col("size") * 300).otherwise(F.col("size"))
+    return rows.select("file_id", fmt.bitrate_text(F.col("bitrate"), "en").alias("bitrate_text"), fmt.duration_text(F.col("file_id") % 9000, "en").alias("duration_text"), fmt.size_text(size, "en").alias("size_text"), T.short_folder(F.col("folder")).alias("folder_text"))
+
+
+# ---- scopes, scripts, bytes, toggles ------------------------------------------------------------
+
+
+@query(
+    with_views("doc_files")
+    + r""",
+p as (select file_id, case file_id % 5 when 0 then '/lib/Node_Modules/x/' when 1 then '/lib/.cache/' when 2 then '/lib/' when 3 then '/lib/a/b/' else '/lib/a/' end || file_id || '.txt' as path, file_id % 8 as attrs from doc_files)
+select m.mode, file_id from p, (values ('all'), ('flat'), ('hidden')) m(mode)
+where file_id % 5 <> 0 and (m.mode = 'hidden' or (file_id % 5 <> 1 and attrs & 6 = 0)) and (m.mode <> 'flat' or file_id % 5 = 2)"""
+)
+def scan_scopes(spark, sf_dir):
+    """System folders are never entered; hidden folders and files only if asked; a flat scan takes the root's files alone."""
+    folder = F.element_at(F.array(*map(F.lit, ("/lib/Node_Modules/x/", "/lib/.cache/", "/lib/", "/lib/a/b/", "/lib/a/"))), (F.col("file_id") % 5 + 1).cast("int"))
+    files = view(spark, sf_dir, "doc_files").select("file_id", F.concat(folder, F.col("file_id").cast("string"), F.lit(".txt")).alias("path"), "size", (F.col("file_id") % 8).cast("int").alias("attrs"))
+    scopes = {"all": {}, "flat": {"recursive": False}, "hidden": {"skip_hidden": False}}
+    found = [catalog.collect(files, ScanConfig(mode="all", min_size=0, **more), F.lit("/lib")).select(F.lit(mode).alias("mode"), "file_id") for mode, more in scopes.items()]
+    return functools.reduce(DataFrame.union, found)
+
+
+@query(
+    with_views("tracks")
+    + r"""
+select file_id, 'fi ' || trim(regexp_replace(regexp_replace(lower(album), '[^a-z0-9_\s]+', ' ', 'g'), '\s+', ' ', 'g')) || case when album = '' then '' else ' ' end || 'کیک ' || file_id || ' ' || file_id || ' x ss' as folded from tracks""".replace("\\\\", "\\")
+)
+def script_keys(spark, sf_dir):
+    """Ligatures, wide letters and sharp s; Arabic letter forms; Arabic-Indic and Persian digits; a joiner of no width."""
+    rows, number = view(spark, sf_dir, "tracks"), F.col("file_id").cast("string")
+    arabic, persian = (F.translate(number, "0123456789", d) for d in ("\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669", "\u06f0\u06f1\u06f2\u06f3\u06f4\u06f5\u06f6\u06f7\u06f8\u06f9"))
+    text = F.concat(F.lit("\ufb01 "), F.col("album"), F.lit(" \u0643\u200c\u064a\u0643 "), arabic, F.lit(" "), persian, F.lit(" \uff38 \u00df"))
+    return rows.select("file_id", T.normalize(text).alias("folded"))
+
+
+@query(
+    with_views("doc_files")
+    + """, r as (select file_id, content, strlen(content) as n, [310, 62, 24, 44, 0][file_id % 5 + 1] as s from doc_files)
+select file_id, case when n >= 4096 and s > 0 then cast(s as bigint) end as start, case when n >= 4096 and s > 0 then cast(s + n as bigint) end as "end", case when n >= 4096 and s > 0 then sha256(content) end as digest from r"""
+)
+def byte_regions(spark, sf_dir):
+    """Documents between the tags of MPEG, FLAC, MP4 and WAV files; a fifth kind has no rule."""
+    body = F.col("content").cast("binary")
+    big = F.lpad(F.hex(F.octet_length(body)), 8, "0")
+    plus8 = F.lpad(F.hex(F.octet_length(body) + 8), 8, "0")
+    little = F.concat(*(F.substring(big, k, 2) for k in (7, 5, 3, 1)))
+    raw = lambda text: F.lit(text.encode("latin-1"))
+    files = [
+        (".mp3", F.concat(raw("ID3\3\0\0\0\0\2\x2c" + "\0" * 300), body, raw("TAG" + " " * 125))),
+        (".flac", F.concat(raw("fLaC\0\0\0\x22" + "\0" * 34 + "\x84\0\0\x10" + "\0" * 16), body)),
+        (".m4a", F.concat(raw("\0\0\0\x10ftypM4A \0\0\0\0"), F.unhex(plus8), raw("mdat"), body, raw("\0\0\0\x08free"))),
+        (".wav", F.concat(raw("RIFF\0\0\0\0WAVEfmt \x10\0\0\0" + "\0" * 16 + "data"), F.unhex(little), body, raw("\0"))),
+    ]
+    kind = F.col("file_id") % 5
+    ext, content = F.lit(".txt"), body
+    for k, (name, built) in enumerate(files):
+        ext, content = F.when(kind == k, name).otherwise(ext), F.when(kind == k, built).otherwise(content)
+    return regions.regions(view(spark, sf_dir, "doc_files").select("file_id", ext.alias("ext"), content.alias("content")))
+
+
+@query(with_views("tracks") + f", {KEYS} select file_id, name_key as key, 'name' as method from keys where name_key is not null qualify count(*) over (partition by name_key) > 1")
+def rule_toggles(spark, sf_dir):
+    """All rules but one switched off."""
+    off = dict.fromkeys(("use_exact", "use_audio", "use_tags", "use_feat", "use_title", "use_duration", "use_size"), False)
+    found, _ = find_claims(tracks(spark, sf_dir), ScanConfig(mode="all", min_size=0, unicode=False, **off))
+    return found.select("file_id", "key", "method")
+
+
+@query(TAG + " select gid, file_id, size from s where not marked")
+def kept_files(spark, sf_dir):
+    rows = select.survivors(marked_members(spark, sf_dir))
+    return select.choose_columns(rows, ["gid", "file_id", "size"], rows.columns)
+
+
+@query(TAG + " select file_id, path, 'trash' as how, file_id % 7 <> 0 as ok, size from s where not best")
+def deletion_log(spark, sf_dir):
+    """The log as it is read back."""
+    rows = rank.suggested(tag_members(spark, sf_dir)).select(F.timestamp_seconds("mtime_s").alias("ts"), "file_id", "path", F.lit("trash").alias("how"), (F.col("file_id") % 7 != 0).alias("ok"), F.lit(None).cast("string").alias("error"), "size")
+    path = f"{shared_dir(spark)}/kinsift-log-{uuid.uuid4().hex}"
+    report.log_deletions(rows, path)
+    return spark.read.parquet(path).select("file_id", "path", "how", "ok", "size")
+
+
+@query("select cast(count_if(doc_id % 3 <> 0) as bigint) as before, cast(0 as bigint) as after from documents")
+def signature_clear(spark, sf_dir):
+    _, old = _versions(spark, sf_dir)
+    before, after = signatures.info(old), signatures.info(signatures.clear(old))
+    return before.select(F.col("rows").alias("before")).crossJoin(after.select(F.col("rows").alias("after")))  # one row each
+
+
+@query(with_views("doc_files") + """ select file_id, sha256(encode(cast(n as varchar)) || encode(content)[1:65536] || case when n > 131072 then encode(content)[n - 65535:n] else encode('') end) as quick from (select *, strlen(content) as n from doc_files)""")
+def quick_signatures(spark, sf_dir):
+    return view(spark, sf_dir, "doc_files").select("file_id", detect.quick_signature(F.col("content")).alias("quick"))

@@ -1,5 +1,6 @@
 """Runs a query and its SQL over one folder of tables and compares their rows."""
 
+import decimal
 import glob
 import os
 
@@ -16,7 +17,7 @@ def tables(folder: str) -> duckdb.DuckDBPyConnection:
 def rows_of(frame) -> list[str]:
     names = sorted(frame.column_names)
     cells = [frame.column(n).to_pylist() for n in names]
-    return sorted(repr([float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in row]) for row in zip(*cells, strict=True))
+    return sorted(repr([float(v) if isinstance(v, decimal.Decimal) else v for v in row]) for row in zip(*cells, strict=True))
 
 
 def assert_same(spark, folder: str, query, sql: str) -> None:
