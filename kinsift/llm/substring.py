@@ -1,15 +1,15 @@
 """Substring dedup by relative Lempel-Ziv parsing against blocks of indexed phrases.
 
 The reference is the whole corpus, indexed by its phrases of WINDOW words: each phrase with the
-smallest document that has it, and the place there. A phrase belongs to the block that its anchor
-names: the smallest hash among the short word runs inside the phrase, so every copy of a phrase, in
-any document, lands in the same block. A document is factored greedily from the left: a factor goes
-on for as long as the next phrase stands at the next place of the same source; where it ends, every
-phrase across the boundary is looked up as well, so nothing that repeats is missed between factors.
-Factors are passages of their source, at least WINDOW words long, and are the duplicate spans.
-
-Hashes of phrases only find candidates: a phrase counts as the source's when a BLAKE2 digest of its
-words is equal, too. Phrases whose anchor stands in one document alone cannot repeat. That is found
+smallest document that has it. A phrase belongs to the block that its anchor names: the smallest hash
+among the short word runs inside the phrase, so every copy of a phrase, in any document, lands in the
+same block. A document is factored greedily from the left: a factor goes on for as long as the next
+phrase is in the index for the same earlier document; where it ends, every phrase across the boundary
+is looked up as well, so nothing that repeats is missed between factors. Factors are at least WINDOW
+words long and are the duplicate spans.
+
+Word hashes only choose anchors; in the index a phrase is a BLAKE2 digest of its words, so that no
+other phrase passes for it. Phrases whose anchor stands in one document alone cannot repeat. That is found
 first, from one row per anchor, and only the rest is indexed. Identical texts are parsed once: all
 words of a later copy are covered by the first one.
 """
@@ -29,16 +29,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from kinsift.llm.text import pack, utf8
-from kinsift.operators.skew import attach
 from kinsift.storage import materialize
 
 WINDOW, ANCHOR = 13, 4
 
-#: An anchor is hot if at least 1/HOT_SHARE of all distinct texts have it; the rows of its phrases are dealt out evenly.
-HOT_SHARE = 200
-
-#: Hot phrases up to which their table is broadcast.
-BROADCAST_ROWS = 100_000
+#: A phrase is hot if at least 1/HOT_SHARE of all distinct texts have it, and as many as leave at most HOT_ROWS such
+#: phrases, as there are no more phrases than half the bytes of all texts. Their table is broadcast, at 20 bytes a phrase.
+HOT_SHARE, HOT_ROWS = 200, 100_000
 
 NULL_ID = (1 << 63) - 1
 
@@ -99,31 +96,12 @@ class Phrases:
         n = len(h) - self.window + 1
         return np.minimum(least[:n], least[wide - size : wide - size + n]).astype(np.int64)
 
-    def keys(self, h: np.ndarray) -> np.ndarray:
-        return self.runs(h, self.window).view(np.int64)
-
 
-def factors(place: np.ndarray, source: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """First word, words, source and place there of each factor of the greedy parse; of each indexed phrase, from the left: its place, earliest document and place there."""
-    going = (np.diff(place) == 1) & (np.diff(source) == 0) & (np.diff(at) == 1)
-    first = np.flatnonzero(np.concatenate(([True], ~going))[: len(place)])
+def factors(place: np.ndarray, source: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, words and source of each factor of the greedy parse; of each indexed phrase, from the left: its place and earliest document."""
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 1) | (np.diff(source) != 0)))[: len(place)])
     last = np.append(first[1:], len(place)) - 1
-    return place[first], place[last[: len(first)]] - place[first] + window, source[first], at[first]
-
-
-def known_places(phrases: Phrases, body: bytes, words: list[bytes], known: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places in the text, rows of known) of the phrases whose key and digest are known."""
-    order, keys = np.lexsort((check, known)), phrases.keys(phrases.hashes(body))
-    ranked, sure = known[order], check[order]
-    low = np.searchsorted(ranked, keys)
-    place = np.flatnonzero(ranked[np.minimum(low, len(ranked) - 1)] == keys)
-    low, own = low[place], phrases.digests(words, place)
-    same = sure[low] == own
-    for k in np.flatnonzero(~same).tolist():  # several phrases share the key, or none of them is this one
-        row = low[k]
-        while row < len(ranked) and ranked[row] == keys[place[k]] and not same[k]:
-            same[k], low[k], row = sure[row] == own[k], row, row + 1
-    return place[same], order[low[same]]
+    return place[first], place[last[: len(first)]] - place[first] + window, source[first]
 
 
 def _long(batches_schema: str, each):
@@ -148,9 +126,8 @@ def _long(batches_schema: str, each):
 
 
 def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_kept, kept, factors) for every row: the words that stay, joined by one space, in UTF-8,
-    and the duplicate spans (first word, words, source document, first word there). The span of a later
-    exact copy is its whole text, with no source.
+    """(doc_id, n_words, kept, factors) for every row: the words that stay, joined by one space, in UTF-8,
+    and the duplicate spans (first word, words, source document).
 
     A word goes if a phrase that covers it also starts in a document with a smaller id. Null texts have
     no words. Null ids count as larger than all others and as one document. Rows that repeat an id are
@@ -163,10 +140,11 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     key = ["id"] if plain else ["id", "own"]
     kinds = "id bigint" if plain else "id bigint, own bigint"
     # the first row of each distinct text
-    texts = rows.select("id", "own", F.sha2("body", 256).alias("digest"))
-    first = materialize(texts.groupBy("digest").agg(F.min(F.struct("id", "own")).alias("f")).select("f.*"), "first").select(*key).distinct()
+    texts = rows.select("id", "own", F.sha2("body", 256).alias("digest"), F.octet_length("body").cast("bigint").alias("size"))
+    kept = materialize(texts.groupBy("digest").agg(F.min(F.struct("id", "own")).alias("f"), F.max("size").alias("size")).select("f.*", "size"), "first")
+    number, size = kept.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    first = kept.select(*key).distinct()
     rows = rows.select(*key, "nameless", "body")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def spread(ids: list, n: int) -> list[np.ndarray]:
         return [np.full(n, x.as_py(), np.int64) for x in ids]
@@ -176,46 +154,35 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         return [found, *spread(row[:-1], len(found))]
 
     def indexed_of(phrases: Phrases, *row) -> list[np.ndarray]:
-        *ids, body, listed, crowded = row
-        body = body.as_py()
-        h = phrases.hashes(body)
-        anchors, shared = phrases.anchors(h), listed.values.to_numpy(zero_copy_only=False)
-        keys, place = np.unique(phrases.keys(h), return_index=True)  # a phrase once per document
-        anchors = anchors[place]
+        body, shared = row[-2].as_py(), row[-1].values.to_numpy(zero_copy_only=False)
+        anchors = phrases.anchors(phrases.hashes(body))
         later = np.isin(anchors, ~shared[shared < 0])
-        stays = later | np.isin(anchors, shared[shared >= 0])
-        anchors, keys, place, later = anchors[stays], keys[stays], place[stays], later[stays]
-        hot = np.isin(anchors, crowded.values.to_numpy(zero_copy_only=False)) if len(crowded) else np.zeros(len(keys), bool)
-        block = (anchors & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
-        return [block, keys, phrases.digests(body.split(), place), *spread(ids, len(keys)), place.astype(np.int32), later, hot]
+        place = np.flatnonzero(later | np.isin(anchors, shared[shared >= 0]))
+        keys, once = np.unique(phrases.digests(body.split(), place), return_index=True)  # a phrase once per document
+        place = place[once]
+        return [(anchors[place] & 0xFFFFFFFF).astype(np.uint32).view(np.int32), keys, *spread(row[:-2], len(keys)), later[place]]
 
     found = f"anchor bigint, {kinds}"
-    anchors = materialize(rows.join(first, key).select(*key, "body").mapInArrow(_long(found, anchors_of), found), "anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.count("*").alias("n")).filter("n > 1").select("anchor", "lo", "n")
-    hot = F.col("n") >= max(2, -(-first.count() // HOT_SHARE))
+    anchors = rows.join(first, key).select(*key, "body").mapInArrow(_long(found, anchors_of), found)
+    shared = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.count("*").alias("n")).filter("n > 1").select(F.col("anchor").alias("both"), "lo")
     # of a document's shared anchors, those that an earlier one has too are negated: only their phrases can be copies
-    told = attach(anchors, materialize(shared, "shared"), "anchor", F.xxhash64("id", "anchor"), "n", ["lo", "n"], anchors.count()).filter("n > 1")
-    signed = F.when(F.col("lo") < F.col("id"), F.bitwise_not("anchor")).otherwise(F.col("anchor"))
-    lists = told.groupBy(*key).agg(F.collect_list(signed).alias("anchors"), F.collect_list(F.when(hot, F.col("anchor"))).alias("crowded"))
-    found = f"block int, phrase bigint, check bigint, {kinds}, place int, later boolean, hot boolean"
-    index = rows.join(lists, key).select(*key, "body", "anchors", "crowded").mapInArrow(_long(found, indexed_of), found)
-    # one exchange for all that follows: a phrase's rows come together, but those of hot anchors are dealt out by document
-    deal = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(parts)) + 1).otherwise(F.lit(0))
-    index = index.withColumn("deal", deal.cast("int")).repartition(parts, "block", "phrase", "check", "deal")
-    phrase = ["block", "phrase", "check", "deal"]
-    earliest = index.groupBy(*phrase).agg(F.min("id").alias("source"), F.min_by("place", "id").alias("at"), F.count("*").alias("n"))
-    seek = index.filter("later").select(*phrase, *key)
-    cold = earliest.filter("deal = 0 and n > 1").select(*phrase, "source", "at")
-    hits = seek.filter("deal = 0").join(cold, phrase).select(*key, "phrase", "check", "source", "at")
-    dealt = earliest.filter("deal > 0").groupBy(*phrase[:3]).agg(F.min("source").alias("least"), F.min_by("at", "source").alias("at")).withColumnRenamed("least", "source")
-    dealt = materialize(dealt, "hot")
-    dealt = F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt
-    hits = hits.union(seek.filter("deal > 0").join(dealt, phrase[:3]).select(*key, "phrase", "check", "source", "at")).filter("source < id")
-    spans = hits.groupBy(*key).agg(F.collect_list(F.struct("phrase", "check", "source", "at")).alias("hits"))
-    todo = first.join(spans, key, "left").select(*key, F.coalesce("hits", F.array().cast("array<struct<phrase:bigint,check:bigint,source:bigint,at:int>>")).alias("hits"))
+    lists = anchors.join(shared, F.col("anchor") == F.col("both")).groupBy(*key).agg(F.collect_list(F.when(F.col("lo") < F.col("id"), F.bitwise_not("anchor")).otherwise(F.col("anchor"))).alias("anchors"))
+    found = f"block int, phrase bigint, {kinds}, later boolean"
+    index = rows.join(lists, key).select(*key, "body", "anchors").mapInArrow(_long(found, indexed_of), found)
+    phrase = [F.col("block").alias("b"), F.col("phrase").alias("p")]
+    earliest = index.groupBy("block", "phrase").agg(F.min("id").alias("source"), F.count("*").alias("n")).select(*phrase, "source", "n")
+    # a phrase of very many documents is looked up in a broadcast table, its rows dealt out evenly
+    least = max(2, -(-number // HOT_SHARE), -(-size // (2 * HOT_ROWS)))
+    hot = earliest.filter(F.col("n") >= least).select(F.col("b").alias("hot_b"), F.col("p").alias("hot_p"), F.col("source").alias("hot_source"))
+    seek = index.filter("later").drop("later").join(F.broadcast(hot), (F.col("block") == F.col("hot_b")) & (F.col("phrase") == F.col("hot_p")), "left")
+    seek = seek.withColumn("way", F.when(F.col("hot_source").isNotNull(), F.xxhash64("id", "phrase")).otherwise(F.col("phrase")))
+    cold = earliest.filter((F.col("n") < least) & (F.col("n") > 1)).drop("n")
+    hits = seek.join(cold, (F.col("block") == F.col("b")) & (F.col("way") == F.col("p")), "left").withColumn("source", F.coalesce("hot_source", "source")).filter("source < id")
+    spans = hits.groupBy(*key).agg(F.collect_list(F.struct("phrase", "source")).alias("hits"))
+    todo = first.join(spans, key, "left").select(*key, F.coalesce("hits", F.array().cast("array<struct<phrase:bigint,source:bigint>>")).alias("hits"))
     whole = rows.join(todo, key, "left").select(F.when(~F.col("nameless"), F.col("id")).alias("id"), "body", "hits")  # no list at all: a later copy
-    out = StructType.fromDDL("doc_id bigint, n_words bigint, n_kept bigint, kept binary, factors array<struct<start:bigint,words:bigint,source:bigint,place:bigint>>")
-    kept = to_arrow_schema(out)
+    out = StructType.fromDDL("doc_id bigint, n_words bigint, n_kept bigint, kept binary, factors array<struct<start:bigint,words:bigint,source:bigint>>")
+    shape = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases()
@@ -223,21 +190,24 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         def tuples() -> Iterator[tuple]:
             for batch in batches:
                 for i, body, hits in zip(*batch.columns, strict=True):
-                    body, spans = body.as_py(), []
-                    words = body.split()
+                    words = body.as_py().split()
                     if not hits.is_valid:
-                        spans = [(0, len(words), None, None)] if len(words) >= WINDOW else []
+                        spans = [(0, len(words), None)] if len(words) >= WINDOW else []
                     elif len(hits):
-                        known, check, source, at = (hits.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                        place, row = known_places(phrases, body, words, known, check)
-                        spans = list(zip(*(x.tolist() for x in factors(place, source[row], at[row])), strict=True))
+                        known, source = (hits.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                        order, keys = np.argsort(known), phrases.digests(words, np.arange(len(words) - WINDOW + 1))
+                        at = order[np.minimum(np.searchsorted(known, keys, sorter=order), len(known) - 1)]
+                        place = np.flatnonzero(known[at] == keys)
+                        spans = list(zip(*(x.tolist() for x in factors(place, source[at[place]])), strict=True))
+                    else:
+                        spans = []
                     stays, size = bytearray(b"\1") * len(words), len(words)
-                    for start, n, *_ in spans:
+                    for start, n, _ in spans:
                         stays[start : start + n] = bytes(n)
                     words = list(compress(words, stays)) if spans else words
-                    yield i.as_py(), size, len(words), b" ".join(words), [{"start": a, "words": n, "source": x, "place": y} for a, n, x, y in spans]
+                    yield i.as_py(), size, len(words), b" ".join(words), [{"start": a, "words": n, "source": x} for a, n, x in spans]
 
-        yield from pack(tuples(), kept)
+        yield from pack(tuples(), shape)
 
     return whole.mapInArrow(run, out)
 
