@@ -134,7 +134,8 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     parsed one by one and are no sources for each other. Texts shorter than a phrase stay whole. Other
     columns are not looked at. An empty table gives no rows.
     """
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("id"), F.col(doc_id).isNull().alias("nameless"), utf8(text).alias("body"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("id"), utf8(text).alias("body"), F.col(doc_id).isNull().alias("nameless"))
+    taken = not docs.filter(F.col(doc_id) == NULL_ID).isEmpty()  # the id that stands for none is a real one, too
     plain = rows.groupBy("id").count().filter("count > 1").isEmpty()
     rows = rows.withColumn("own", F.lit(0).cast("bigint") if plain else F.xxhash64("body"))  # tells rows of one id apart
     key = ["id"] if plain else ["id", "own"]
@@ -144,7 +145,8 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     kept = materialize(texts.groupBy("digest").agg(F.min(F.struct("id", "own")).alias("f"), F.max("size").alias("size")).select("f.*", "size"), "first")
     number, size = kept.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     first = kept.select(*key).distinct()
-    rows = rows.select(*key, "nameless", "body")
+    # all passes read the same columns, so that texts are shuffled once
+    rows = rows.select(*key, "body", *(["nameless"] if taken else []))
 
     def spread(ids: list, n: int) -> list[np.ndarray]:
         return [np.full(n, x.as_py(), np.int64) for x in ids]
@@ -180,7 +182,7 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     hits = seek.join(cold, (F.col("block") == F.col("b")) & (F.col("way") == F.col("p")), "left").withColumn("source", F.coalesce("hot_source", "source")).filter("source < id")
     spans = hits.groupBy(*key).agg(F.collect_list(F.struct("phrase", "source")).alias("hits"))
     todo = first.join(spans, key, "left").select(*key, F.coalesce("hits", F.array().cast("array<struct<phrase:bigint,source:bigint>>")).alias("hits"))
-    whole = rows.join(todo, key, "left").select(F.when(~F.col("nameless"), F.col("id")).alias("id"), "body", "hits")  # no list at all: a later copy
+    whole = rows.join(todo, key, "left").select(F.when(~F.col("nameless") if taken else F.col("id") != NULL_ID, F.col("id")).alias("id"), "body", "hits")  # no list at all: a later copy
     out = StructType.fromDDL("doc_id bigint, n_words bigint, n_kept bigint, kept binary, factors array<struct<start:bigint,words:bigint,source:bigint>>")
     shape = to_arrow_schema(out)
 
