@@ -1,12 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv parsing against blocks of indexed phrases.
+"""Substring dedup by joining indexed phrases, in place of a relative Lempel-Ziv parse.
 
 The reference is the whole corpus, indexed by its phrases of WINDOW words: each phrase with the
 smallest document that has it. A phrase belongs to the block that its anchor names: the smallest hash
 among the short word runs inside the phrase, so every copy of a phrase, in any document, lands in the
-same block. A document is factored greedily from the left: a factor goes on for as long as the next
-phrase is in the index for the same earlier document; where it ends, every phrase across the boundary
-is looked up as well, so nothing that repeats is missed between factors. Factors are at least WINDOW
-words long and are the duplicate spans.
+same block. Every phrase of a document is looked up; a factor is a run of neighbouring phrases with
+the same earliest document. Factors are at least WINDOW words long and are the duplicate spans. No
+place in the source is kept and no longest match is sought, so they are not Lempel-Ziv factors: one
+may join passages from several places of its source, and one ends where the earliest document changes.
 
 Word hashes only choose anchors; in the index a phrase is a BLAKE2 digest of its words, so that no
 other phrase passes for it. Phrases whose anchor stands in one document alone cannot repeat. That is found
@@ -98,7 +98,7 @@ class Phrases:
 
 
 def factors(place: np.ndarray, source: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, words and source of each factor of the greedy parse; of each indexed phrase, from the left: its place and earliest document."""
+    """First word, words and source of each factor; of each indexed phrase, from the left: its place and earliest document."""
     first = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 1) | (np.diff(source) != 0)))[: len(place)])
     last = np.append(first[1:], len(place)) - 1
     return place[first], place[last[: len(first)]] - place[first] + window, source[first]
