@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinsift.llm import audio, bpe, exact, language, licenses, mixing, periodic, sharding, simhash, substring, tokenfiles
+from kinsift.llm import audio, bpe, dialogue, exact, language, licenses, mixing, periodic, sharding, simhash, substring, tokenfiles
 
 QUERIES = {
     "op1_audio": audio.op1_audio,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language": language.op9_language,
     "op10_exact_dedup": exact.op10_exact_dedup,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_conversations": dialogue.op12_conversations,
 }
 
 SQL = {"op2_source_mix": mixing.OP2_SQL, "op5_substring": substring.OP5_SQL, "op10_exact_dedup": exact.OP10_SQL}
