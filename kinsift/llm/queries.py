@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinsift.llm import audio, bpe, dialogue, exact, language, licenses, mixing, periodic, sharding, simhash, substring, tokenfiles
+from kinsift.llm import audio, bpe, credentials, dialogue, exact, language, licenses, mixing, periodic, sharding, simhash, substring, tokenfiles
 
 QUERIES = {
     "op1_audio": audio.op1_audio,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_exact_dedup": exact.op10_exact_dedup,
     "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_conversations": dialogue.op12_conversations,
+    "op13_secrets": credentials.op13_secrets,
 }
 
 SQL = {"op2_source_mix": mixing.OP2_SQL, "op5_substring": substring.OP5_SQL, "op10_exact_dedup": exact.OP10_SQL}
