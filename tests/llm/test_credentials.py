@@ -33,8 +33,8 @@ def check(rows, got):
 
 
 @pytest.fixture(scope="module")
-def model():
-    return credentials.Model({})
+def model(spark):
+    return credentials.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
 
 
 def test_query_equals_plain_patterns(spark):
@@ -62,8 +62,8 @@ def test_empty_table(spark, empty, model):
 @pytest.mark.parametrize("label", credentials.FORMATS)
 def test_formats_that_were_held_out(model, label):
     words = credentials.spelt(label, credentials.FORMATS[label], 300, seed=9)
-    # words of no format, which assign stands for, are hard to tell from ordinary ones when short
-    assert sum(model.score(w.encode()) is not None for w in words) >= (0.6 if label == "assign" else 0.9) * len(words)
+    # short words of few letters, or of no format, are hard to tell from ordinary ones; hex of 24 letters is a base span anyway
+    assert sum(model.score(w.encode()) is not None for w in words) >= (0.8 if label in ("assign", "hex") else 0.9) * len(words)
 
 
 def test_ordinary_words_are_no_secrets(model):
