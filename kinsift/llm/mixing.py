@@ -56,14 +56,25 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     """(doc_id, size, source_size, target, copies, taken) for every row of docs.
 
     size counts words (null text: 0); copies is how often the mix takes the document, at most
-    ``most``; taken = copies * size. Depends on ids and seed alone, so reruns agree. Null sources are
-    one source, the last; sources and documents without words take nothing. Repeated rows have equal
-    ranks and are taken in any order, which gives the same rows. doc_weight names a column of
+    ``most``; taken = copies * size. Depends on ids, texts and seed alone, so reruns agree. Null sources are
+    one source, the last; sources and documents without words take nothing. Draws are by id and text, so
+    rows that repeat an id, or have none, are drawn each on its own; rows equal in both have equal
+    ranks and are taken one by one in any order, which gives the same rows. doc_weight names a column of
     relative inclusion weights within a source (null or negative: 0). Other columns are not looked at;
     an empty table gives no rows.
     """
+    return _mixed(docs, doc_id, source, text, weights, share, most, seed, doc_weight).drop("_source", "_content")
+
+
+def content(text: Column) -> Column:
+    """Half a SHA-256 of the text; null counts as empty."""
+    return F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32)
+
+
+def _mixed(docs: DataFrame, doc_id: str, source: str, text: str, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, doc_weight: str | None = None) -> DataFrame:
+    """mix() with the source and content of each row."""
     own = F.greatest(F.coalesce(F.col(doc_weight).cast("double"), F.lit(0.0)), F.lit(0.0)) if doc_weight else F.lit(1.0)
-    sized = materialize(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), own.alias("_own")), "sizes")
+    sized = materialize(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), own.alias("_own"), content(F.col(text)).alias("_content")), "sizes")
     aim = targets(sized, weights, share, most)
     if doc_weight:
         aim = aim.join(sized.groupBy(F.col("source").alias("_s")).agg(F.sum(F.col("size") * F.col("_own")).alias("_sum")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -74,7 +85,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     rows = join_small(sized, aim, "source")
     expected = F.least(F.col("_rate") * F.col("_own"), F.lit(float(most)))
     rows = rows.withColumn("_whole", F.floor(expected)).withColumn("_p", expected - F.floor(expected))
-    odds = uniform(F.col("doc_id"), seed)
+    odds = uniform(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("_content")), seed)
     # null: certain copies only
     rows = rows.withColumn("_rank", F.when(F.col("_p") > 0, (odds / (1 - odds)) / (F.col("_p") / (1 - F.col("_p")))))
     rows = rows.withColumn("_rank", F.col("_rank") / (1 + F.col("_rank")))
@@ -94,11 +105,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     ends = materialize(ends.select("source", "_end._bucket", "_end._before", "_end._left").withColumnRenamed("_bucket", "_last"), "ends")
     rows = join_small(rows, ends, "source", "left")
     inside = rows.filter("_bucket = _last")
-    order = Window.partitionBy("source").orderBy("_rank", "doc_id")
+    order = Window.partitionBy("source").orderBy("_rank", "doc_id", "_content").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     so_far = F.col("_before") + F.sum("size").over(order)
     inside = inside.withColumn("_so_far", so_far).withColumn("_extra", ((F.col("_so_far") - F.col("size") < F.col("_left")) & (F.col("_so_far") - F.col("_left") <= F.col("_left") - (F.col("_so_far") - F.col("size")))).cast("int"))
     outside = rows.filter("_bucket is null or _last is null or _bucket <> _last").withColumn("_extra", F.coalesce(F.when(F.col("_bucket").isNull(), 0).when(F.col("_last").isNull() | (F.col("_bucket") < F.col("_last")), 1), F.lit(0)))
-    columns = ["doc_id", "size", "source_size", "target", (F.col("_whole") + F.col("_extra")).cast("int").alias("copies")]
+    columns = [F.col("source").alias("_source"), "_content", "doc_id", "size", "source_size", "target", (F.col("_whole") + F.col("_extra")).cast("int").alias("copies")]
     out = outside.select(columns).union(inside.select(columns))
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
@@ -106,13 +117,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 def repeat(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **more) -> DataFrame:
     """The mix itself: each row of docs as many times as the mix takes it, documents without words left out.
 
-    ids must be unique, as they are after exact dedup; a repeated id takes the smallest number of copies.
-    All columns pass through, whatever their names. An empty table gives no rows.
+    Rows are told apart by id, source and text; of rows equal in all three each takes the smallest number
+    of their copies. All columns pass through, whatever their names. An empty table gives no rows.
     """
-    taken = mix(docs, doc_id, source, text, **more).filter("copies > 0 and size > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.min("copies").alias("_copies"))
+    taken = _mixed(docs, doc_id, source, text, **more).groupBy(F.col("doc_id").alias("_id"), "_source", "_content").agg(F.min("copies").alias("_copies"), F.max("size").alias("_size")).filter("_copies > 0 and _size > 0")
     docs, names = renamed(docs)
-    out = docs.join(taken, F.col(names[doc_id]).eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(restored(names))
+    same = F.col(names[doc_id]).cast("bigint").eqNullSafe(F.col("_id")) & F.col(names[source]).cast("string").eqNullSafe(F.col("_source")) & (content(F.col(names[text])) == F.col("_content"))
+    return docs.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(restored(names))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +132,7 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 with d as (
-  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size from documents),
+  select doc_id, source, substr(sha256(coalesce(text, '')), 1, 32) as content, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size from documents),
 s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as place from d group by source),
 w as (select *, cast(case place % 3 when 0 then 3 when 1 then 1 else 2 end as double) as w, cast(2 * source_size as double) as full_size from s),
 l as (
@@ -129,15 +140,15 @@ l as (
   from w window f as (order by full_size / w, source nulls last)),
 t as (select source, source_size, least(full_size, max(level) over () * w) as target from l),
 r as (
-  select doc_id, size, t.source, source_size, target, case when source_size > 0 then target / cast(source_size as double) else 0.0 end as rate,
-    cast(('0x' || substr(sha256('7:' || coalesce(cast(doc_id as varchar), 'null')), 1, 13)) as bigint) / cast(4503599627370496 as double) as u
+  select doc_id, size, content, t.source, source_size, target, case when source_size > 0 then target / cast(source_size as double) else 0.0 end as rate,
+    cast(('0x' || substr(sha256('7:' || coalesce(cast(doc_id as varchar), 'null') || ':' || content), 1, 13)) as bigint) / cast(4503599627370496 as double) as u
   from d join t on d.source is not distinct from t.source),
 q as (
   select *, least(rate, 2.0) - floor(least(rate, 2.0)) as p, cast(floor(least(rate, 2.0)) as bigint) as whole from r),
 k as (
   select *, case when p > 0 then ((u / (1 - u)) / (p / (1 - p))) end as odds, sum(whole * size) over (partition by source) as certain from q),
 c as (
-  select *, target - certain as rest, sum(case when p > 0 then size else 0 end) over (partition by source order by odds / (1 + odds) nulls last, doc_id rows unbounded preceding) as so_far from k)
+  select *, target - certain as rest, sum(case when p > 0 then size else 0 end) over (partition by source order by odds / (1 + odds) nulls last, doc_id nulls first, content rows unbounded preceding) as so_far from k)
 select doc_id, size, source_size, target,
   cast(whole + case when p > 0 and so_far - size < rest and so_far - rest <= rest - (so_far - size) then 1 else 0 end as integer) as copies,
   cast((whole + case when p > 0 and so_far - size < rest and so_far - rest <= rest - (so_far - size) then 1 else 0 end) * size as bigint) as taken
