@@ -75,7 +75,7 @@ def shuffle(docs: DataFrame, doc_id: str = "doc_id", shards: int = SHARDS, seed:
     total = docs.count()
     parts = min(MOST_PARTITIONS, max(1, math.ceil(total / rows)))
     # rows of one id (or of none) are told apart by their content, so that no id is a class of its own
-    content = F.xxhash64(*[c for c, kind in docs.dtypes if not kind.startswith("map")])
+    content = F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes])  # maps have no hash
     placed = docs.withColumn("_at", F.xxhash64(F.lit(seed), key, content))
     placed = placed.withColumn("_part", F.pmod("_at", F.lit(parts)).cast("int"))
     counts = dict(placed.groupBy("_part").count().collect())  # at most MOST_PARTITIONS rows
