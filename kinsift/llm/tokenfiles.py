@@ -73,7 +73,7 @@ def library(path: str) -> Library:
 def write(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end: int = END, block: int = rangecoder.BLOCK) -> DataFrame:
     """Encodes every text, appends the end id, and writes the files; returns their table.
 
-    Files are in ascending order of doc_id (nulls first, repeated rows beside each other), so file
+    Files are in ascending order of doc_id (nulls first; rows of one id by a hash of the text, then the text), so file
     and block numbers give the order of the corpus. Blocks hold whole documents, about ``block`` ids; a
     longer document is a block of its own. Null texts are empty: the end id alone.
     """
@@ -123,7 +123,8 @@ def write(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
         yield from pack(rows(), kinds)
         release()
 
-    ordered = docs.select(F.col(doc_id).cast("bigint").alias("_id"), utf8(text).alias("_text")).repartitionByRange("_id").sortWithinPartitions("_id")
+    ordered = docs.select(F.col(doc_id).cast("bigint").alias("_id"), utf8(text).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    ordered = ordered.repartitionByRange("_id", "_hash").sortWithinPartitions("_id", "_hash", "_text").drop("_hash")
     return materialize(ordered.mapInArrow(run, out), "tokens", compression="none")
 
 

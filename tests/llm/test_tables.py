@@ -129,9 +129,32 @@ def test_mix_by_document_weight_and_repeat(spark, empty):
     assert mixing.mix(empty).count() == mixing.repeat(empty).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["null", "five"])
+def test_mix_of_tied_ids_equals_sql(spark, tmp_path, ids):
+    """Rows without an id, or sharing five, are drawn each on its own and every source meets its target."""
+    rows = spark.range(3000).select(F.when(F.lit(ids == "five"), F.col("id") % 5).alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.concat(F.repeat(F.lit("w "), (F.col("id") % 97 + 1).cast("int")), F.col("id") % 1500).alias("text"))
+    rows.unionByName(rows.filter("text like '%7'")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert_same(spark, str(tmp_path), QUERIES["op2_source_mix"], SQL["op2_source_mix"])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    met = mixing.mix(docs).groupBy("source_size").agg(F.sum("taken").alias("n"), F.first("target").alias("target"), F.max("size").alias("most")).collect()
+    assert len(met) == 3 and all(abs(r.n - r.target) <= r.most for r in met)
+
+
+def test_repeat_tells_texts_of_one_id_apart(spark):
+    docs = spark.createDataFrame([(1, "s", "one two three")] * 2 + [(1, "s", None), (1, "s", ""), (None, "s", "four five")], "doc_id long, source string, text string")
+    out = mixing.repeat(docs, share=2.0)
+    assert Counter(map(tuple, out.collect())) == {(1, "s", "one two three"): 4, (None, "s", "four five"): 2}
+
+
 # ---- sharding -----------------------------------------------------------------------------------
 
 
+def test_shuffle_of_maps_at_any_depth(spark):
+    docs = spark.createDataFrame([(None if k % 2 else 1, [{"a": k}], (k, {"b": [k]})) for k in range(60)], "doc_id long, maps array<map<string, int>>, pair struct<n: int, m: map<string, array<int>>>")
+    rows = sharding.shuffle(docs, shards=3, rows=4).collect()
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(3) for k in range(20)] and len({r.pair.n for r in rows}) == 60
+
+
 def test_shards_are_even_gapless_and_repeatable(spark, odd, empty):
     got = sharding.shuffle(odd, shards=4, rows=5)
     rows = got.select("doc_id", "text", "shard", "slot").collect()

@@ -490,3 +490,9 @@ def test_pipeline_stages(spark, tmp_path, library):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert F is not None
+
+
+def test_token_files_of_tied_ids_do_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(k % 2 or None, f"text {k % 40} of an id") for k in range(60)], "doc_id long, text string")
+    a, b = (sorted(map(str, tokenfiles.read(tokenfiles.write(docs.repartition(n))).collect())) for n in (2, 7))
+    assert a == b
