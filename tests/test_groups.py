@@ -67,6 +67,36 @@ def test_anchors(spark, kind, seed):
     assert {r.v: r.a for r in anchors.anchor_clusters(df.filter("v is not null"), "v", "a", **how).collect()} == plain_anchors([v for _, v in rows if v is not None], limit)
 
 
+@pytest.fixture
+def ranges(spark):
+    """A session with many small ranges."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize(("values", "how"), [
+    ([round(x * 0.37 % 977, 2) for x in range(60_000)], {"window": 1.5}),
+    ([x * 0.25 for x in range(4000)], {"window": 900.0}),  # one window covers many ranges
+    ([float(x) for x in range(1, 3000)], {"ratio": 0.02}),
+])
+def test_anchors_through_a_tree_of_ranges(ranges, monkeypatch, values, how):
+    """Blocks compose over several levels, and none has more runs than a range or one window has values."""
+    monkeypatch.setattr(anchors, "FAN", 3)
+    seen, real = [], anchors.materialize
+    monkeypatch.setattr(anchors, "materialize", lambda df, name: seen.append((name, real(df, name))) or seen[-1][1])
+    rows = ranges.createDataFrame(pd.DataFrame({"v": values}))
+    got = {r.v: r.a for r in anchors.anchor_clusters(rows, "v", "a", **how).distinct().collect()}
+    assert got == plain_anchors(values, anchors.limit_of(how.get("window"), how.get("ratio")))
+    largest = dict(seen)["chains"].groupBy("part").count().agg(F.max("count")).first()[0]
+    blocks = [df for name, df in seen if name == "blocks"]
+    assert len(blocks) >= 3 and blocks[0].count() >= 30
+    window = max(sum(v <= w <= how["window"] + v for w in values) for v in values[:1]) if "window" in how else 0
+    assert all(b.agg(F.max(F.size("runs"))).first()[0] <= max(largest, window) for b in blocks)
+
+
 def test_anchored_not_chained(spark):
     df = spark.createDataFrame([(20.0,), (21.0,), (22.0,), (23.0,)], "v double")
     assert sorted(r.a for r in anchors.anchor_clusters(df, "v", "a", window=1.5).collect()) == [20.0, 20.0, 22.0, 22.0]
