@@ -1,27 +1,15 @@
-"""Catalogues of files: from folders or tables, filtered before anything is read."""
+"""Catalogues of files: what a scan takes of them, before anything is read."""
 
 from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinsift.functions.text import extension_of, folder_of, name_of
 from kinsift.plans.config import AUDIO, IMAGE, SYSTEM_FOLDERS, VIDEO, ScanConfig
-
-
-def scan_folders(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """(root, path, size, mtime) of the files under roots, without reading their content.
-
-    Spark's listing leaves out names that begin with ``_`` or ``.``; a catalogue table has no such gap
-    and is the way to go for large collections.
-    """
-    parts = []
-    for root in roots:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        parts.append(files.select(F.lit(root.rstrip("/")).alias("root"), F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")))
-    return functools.reduce(DataFrame.union, parts)
+from kinsift.sources.signatures import VERSION, lookup
 
 
 def category(ext: Column) -> Column:
@@ -69,15 +57,36 @@ def collect(files: DataFrame, config: ScanConfig, root: Column | None = None) ->
     return rows.dropDuplicates(["path_key"]).drop("path_key")
 
 
+def observed(files: DataFrame, config: ScanConfig, root: Column | None = None, known: DataFrame | None = None) -> tuple[DataFrame, Observation]:
+    """The files that collect() gives, and the figures of the scan, counted while they are first computed.
+
+    Of the files in scope and of an accepted kind: scanned, skipped (hidden or too small), unreadable (without
+    a size), and with known signatures (path, size, mtime_ns) cache_hits among the scanned. The observation
+    has its figures after the first action on the files; no pass is made for them.
+    """
+    rows = with_parts(files, root).filter(in_scope(config) & accepts(config, F.col("ext")))
+    rows = rows.withColumn("path_key", F.lower("path") if config.fold_case else F.col("path")).dropDuplicates(["path_key"]).drop("path_key")
+    rows = rows.withColumn("_hit", F.lit(False)) if known is None else lookup(rows, known.select(VERSION)).withColumnRenamed("hit", "_hit")
+    small = visible(files, config) & (F.col("size") >= config.min_size)
+    ok, told = F.coalesce(small, F.lit(False)), Observation()
+    counts = {"scanned": ok, "skipped": ~ok & F.col("size").isNotNull(), "unreadable": F.col("size").isNull(), "cache_hits": ok & F.col("_hit")}
+    return rows.observe(told, *(F.count_if(c).alias(n) for n, c in counts.items())).filter(ok).drop("_hit"), told
+
+
 def statistics(files: DataFrame, config: ScanConfig, root: Column | None = None) -> DataFrame:
     """One row: files scanned and skipped (hidden or too small), of those in scope and of an accepted kind.
 
     Files without a size could not be read.
     """
-    rows = with_parts(files, root).filter(in_scope(config) & accepts(config, F.col("ext")))
-    rows = rows.withColumn("path_key", F.lower("path") if config.fold_case else F.col("path")).dropDuplicates(["path_key"])
-    ok = visible(files, config) & (F.col("size") >= config.min_size)
-    return rows.agg(F.count_if(ok).alias("scanned"), F.count_if(~ok).alias("skipped"), F.count_if(F.col("size").isNull()).alias("unreadable"))
+    rows, told = observed(files, config, root)
+    rows.write.format("noop").mode("overwrite").save()
+    return files.sparkSession.createDataFrame([tuple(told.get[n] for n in ("scanned", "skipped", "unreadable"))], "scanned bigint, skipped bigint, unreadable bigint")
+
+
+def summary(told: Observation, groups: DataFrame) -> DataFrame:
+    """One row of a scan's six figures: those observed, files in groups (dupes), and bytes that all but the largest of each take."""
+    totals = groups.agg(F.coalesce(F.sum("files"), F.lit(0)).cast("bigint").alias("dupes"), F.coalesce(F.sum("reclaimable"), F.lit(0)).cast("bigint").alias("reclaimable"))
+    return totals.select(*(F.lit(told.get[n]).cast("bigint").alias(n) for n in ("scanned", "skipped", "unreadable", "cache_hits")), "dupes", "reclaimable")
 
 
 def resolve_tags(tags: Column) -> dict[str, Column]:

@@ -52,15 +52,26 @@ def report(members: DataFrame, groups: DataFrame, lang: str = "fa", selection: D
     )
 
 
-def write_report(rows: DataFrame, path: str, lang: str = "fa", one_file: bool = True) -> None:
-    """report() as CSV with a byte-order mark before the first header, by group, size falling, and path."""
-    out = rows.orderBy("gid", F.col("bytes").desc(), "path").select(COLUMNS).toDF("﻿" + REPORT[lang][0], *REPORT[lang][1:])
-    (out.coalesce(1) if one_file else out).write.option("header", True).option("quoteAll", False).mode("errorifexists").csv(path)
+def write_report(rows: DataFrame, path: str, lang: str = "fa", one_file: bool = False) -> None:
+    """report() as CSV with a byte-order mark before the header, by group, size falling, and path.
+
+    The header is the first line of the first range of rows; the parts, joined in order of their names, are
+    the report. one_file has it written by one task, for small ones.
+    """
+    line = F.to_csv(F.struct(*(F.col(c).cast("string") for c in COLUMNS)), {"emptyValue": '""'})
+    lines = rows.select("gid", F.col("bytes").cast("bigint").alias("bytes"), "path", line.alias("value"))
+    none = F.lit(None)
+    header = rows.sparkSession.range(1).select(none.cast(lines.schema["gid"].dataType).alias("gid"), none.cast("bigint").alias("bytes"), none.cast("string").alias("path"), F.lit("\ufeff" + ",".join(REPORT[lang])).alias("value"))
+    order = F.col("gid").asc_nulls_first(), F.col("bytes").desc(), F.col("path")
+    both = header.unionByName(lines)
+    both = both.coalesce(1).sortWithinPartitions(*order) if one_file else both.repartitionByRange(*order).sortWithinPartitions(*order)
+    both.select("value").write.mode("errorifexists").text(path)
 
 
-def log_deletions(deletions: DataFrame, path: str) -> None:
-    """Appends (ts, path, how, ok, error, size) under a folder per day."""
-    deletions.withColumn("day", F.to_date("ts")).write.partitionBy("day").mode("append").parquet(path)
+def log_deletions(deletions: DataFrame, path: str, run: str) -> None:
+    """Adds (ts, path, how, ok, error, size) under a folder per day and run; a run that is logged again replaces its own rows."""
+    rows = deletions.withColumn("day", F.to_date("ts")).withColumn("run", F.lit(run))
+    rows.write.partitionBy("day", "run").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def deletion_totals(deletions: DataFrame) -> DataFrame:

@@ -1,37 +1,36 @@
 """Incremental re-scan: catalogue rows arrive as a stream, only new and changed files are signed.
 
-The signature table of earlier scans becomes a sequence of snapshots. Each micro-batch looks up its
-files, computes signatures for the misses alone, and writes the next snapshot; a batch that is run
-again after a failure writes the same snapshot number, so nothing is counted twice.
+Each micro-batch looks up its files in the signature table, computes signatures for the misses alone, and
+adds a generation with these and with hits not seen for long; a batch that is run again after a
+failure writes the same generation, so nothing is counted twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kinsift.sources import signatures as S
+from kinsift.sources.signature_table import SignatureTable
 
 
-def snapshot(folder: str, version: int) -> str:
-    return f"{folder.rstrip('/')}/v{version:06d}"
+def rescan(files: DataFrame, table: SignatureTable, sign: Callable[[DataFrame], DataFrame], checkpoint: str, seen: Column | None = None) -> StreamingQuery:
+    """Starts a query over a stream of (path, size, mtime_ns, ...) that keeps the table up to date.
 
-
-def rescan(files: DataFrame, folder: str, sign: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Starts a query over a stream of (path, size, mtime_ns, ...) that keeps the snapshots in folder up to date.
-
-    sign turns missed files into rows of the signature table. Batch n reads snapshot n (0 must exist)
-    and writes snapshot n + 1. If a path comes twice in a batch, its latest version counts.
+    sign turns missed files into rows of the table, but for ``seen``, which is the given time or the current.
+    Batch n reads the generations up to n and writes generation n + 1. If a path comes twice in a batch, its
+    latest version counts.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark: SparkSession = rows.sparkSession
-        known = spark.read.parquet(snapshot(folder, number))
         latest = rows.groupBy("path").agg({"mtime_ns": "max"}).withColumnRenamed("max(mtime_ns)", "mtime_ns")
         rows = rows.join(latest, ["path", "mtime_ns"]).dropDuplicates(["path"])
-        missed = S.lookup(rows, known.select(S.VERSION)).filter("not hit").drop("hit")
-        S.upsert(known, sign(missed)).write.mode("overwrite").parquet(snapshot(folder, number + 1))
+        own = replace(table, spark=rows.sparkSession)
+        found = own.lookup(rows, number + 1)
+        missed = found.filter("not hit").select(*rows.columns)
+        own.upsert(found, sign(missed), number + 1, F.current_timestamp() if seen is None else seen)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
