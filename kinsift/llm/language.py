@@ -59,6 +59,9 @@ LETTERS = {c: chr(c).lower() if chr(c).isalpha() else (chr(c) if chr(c).isspace(
 
 OTHERS = regex.compile("[^\\p{L}\\p{M}]+")
 
+#: Letters from which a word is summed on its own, a stretch of STEP places at a time, and sums that are held at once for shorter ones.
+LONG, STEP, SUMS = 4096, 1 << 14, 1_600_000
+
 #: Odd multiplier of the rolling hash of letters.
 MIXER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -169,10 +172,46 @@ def by_length(words: list[str], most: int = 400_000) -> Iterator[tuple[np.ndarra
             yield part, np.frombuffer(flat, "<u4").reshape(len(part), size).astype(np.uint64)
 
 
+def log_long(word: str, table: Pieces, weights: np.ndarray, step: int = STEP) -> np.ndarray:
+    """Log probability of one long word in each language: the pieces of ``step`` places at a time, and as many sums as a piece has letters."""
+    letters = np.frombuffer(word.encode("utf-32-le"), "<u4")
+    logs, letter, plus, _ = lifted(weights, table, SHORT + 1)
+    kept = table.longest + 1
+    sums = np.full((kept, weights.shape[1]), -np.inf)  # those of the places modulo kept
+    sums[0] = 0.0
+    ending: dict[int, list[tuple[int, int]]] = {}  # by end: start and piece
+    for begin in range(0, len(letters), step):
+        starts, h = np.arange(begin, min(begin + step, len(letters))), None
+        for n in range(table.longest):
+            starts = starts[starts + n < len(letters)]
+            h = np.zeros(len(starts), np.uint64) if h is None else h[: len(starts)]
+            h = table.step(h, letters[starts + n].astype(np.uint64))
+            found = table.find(h * MIXER)
+            for a, piece in zip(starts[found >= 0].tolist(), found[found >= 0].tolist(), strict=True):
+                ending.setdefault(a + n + 1, []).append((a, piece))
+            go = found != table.NOTHING
+            if not go.any():
+                break
+            starts, h = starts[go], h[go]
+        for end in range(begin + 1, min(begin + step, len(letters)) + 1):
+            now = sums[(end - 1) % kept] + letter
+            for a, piece in ending.pop(end, ()):
+                now = plus(now, sums[a % kept] + logs[piece])
+            sums[end % kept] = now
+    return sums[len(letters) % kept]
+
+
 def log_words(words: list[str], table: Pieces, weights: np.ndarray) -> np.ndarray:
-    """Log probability of each word in each language, summed over its segmentations."""
+    """Log probability of each word in each language, summed over its segmentations. Memory does not grow with a word's length or the languages."""
     out = np.zeros((len(words), weights.shape[1]))
-    for part, letters in by_length(words):
+    long = [k for k, w in enumerate(words) if len(w) > LONG]
+    for k in long:
+        out[k] = log_long(words[k], table, weights)
+    if long:
+        short = [k for k, w in enumerate(words) if len(w) <= LONG]
+        out[short] = log_words([words[k] for k in short], table, weights)
+        return out
+    for part, letters in by_length(words, min(400_000, SUMS // weights.shape[1])):
         ways = lifted(weights, table, letters.shape[1])
         last = forward(table.spans(letters), *ways, *letters.shape)[-1]
         out[part] = np.log(last) - np.log(2.0) * LIFT * letters.shape[1] if ways[2] is np.add else last
@@ -246,7 +285,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
         for batch in batches:
             for whole, label in zip(batch.column(0), batch.column(1), strict=True):
                 seen: dict[str, int] = {}
-                for w in words_of(whole.as_py()):
+                for w in (w[k : k + LONG] for w in words_of(whole.as_py()) for k in range(0, len(w), LONG)):  # longer ones count in parts
                     seen[w] = seen.get(w, 0) + 1
                 if seen:
                     yield pa.record_batch({"word": list(seen), "lang": [label.as_py()] * len(seen), "n": pa.array(list(seen.values()), pa.int64())})

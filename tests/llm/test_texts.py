@@ -496,3 +496,30 @@ def test_token_files_of_tied_ids_do_not_depend_on_partitions(spark):
     docs = spark.createDataFrame([(k % 2 or None, f"text {k % 40} of an id") for k in range(60)], "doc_id long, text string")
     a, b = (sorted(map(str, tokenfiles.read(tokenfiles.write(docs.repartition(n))).collect())) for n in (2, 7))
     assert a == b
+
+
+def test_long_words_are_summed_in_stretches(monkeypatch):
+    """Stretches of any length give what the whole word gives, for any number of languages."""
+    import random
+
+    rng = random.Random(2)
+    table = language.pieces(language.public_path(language.VOCABULARY))
+    weights = language.normal(np.random.default_rng(1).random((len(table.names) + 1, 7)))
+    words = ["▁" + "".join(rng.choice("etaoinßé漢q") for _ in range(n)) for n in (65, 300, 1000)]
+    whole = language.log_words(words, table, weights)
+    for step in (1, 7, 64, 5000):
+        assert np.array([language.log_long(w, table, weights, step) for w in words]) == pytest.approx(whole)
+    monkeypatch.setattr(language, "LONG", 200)
+    monkeypatch.setattr(language, "SUMS", 700)
+    assert language.log_words([*words, "▁the"], table, weights)[:3] == pytest.approx(whole)
+
+
+def test_a_word_of_many_letters_takes_little_memory():
+    import tracemalloc
+
+    table = language.pieces(language.public_path(language.VOCABULARY))
+    weights = np.full((len(table.names) + 1, 4), 1e-5)
+    tracemalloc.start()
+    assert np.isfinite(language.log_long("▁" + "nation" * 40_000, table, weights)).all()
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
