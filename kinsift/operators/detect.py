@@ -6,15 +6,18 @@ Files are rows of (file_id, path, size, category, ...); a rule keeps the keys th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinsift.functions import text as T
 from kinsift.operators.anchors import anchor_clusters
 from kinsift.plans.config import DURATION_LEAST, DURATION_SIZES, DURATION_WINDOW, FEAT_BUCKET, FEAT_SECONDS, METHODS, ScanConfig
-from kinsift.sources.regions import read_survivors
+from kinsift.sources.digests import CHUNK, tree_digests
+from kinsift.sources.regions import read_survivors, regions
+from kinsift.storage import materialize
 
 STAGE = {m: k + 1 for k, (m, _, _) in enumerate(METHODS)}
 CONFIDENCE = {m: c for m, c, _ in METHODS}
@@ -43,16 +46,29 @@ def exact(files: DataFrame, content: str = "content") -> DataFrame:
     return claims(buckets(rows, F.concat_ws(":", F.col("size").cast("string"), "_digest")), "exact")
 
 
-def exact_files(files: DataFrame) -> DataFrame:
+def exact_files(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Equal size, then equal quick signature, then equal digest, for files (file_id, path, size) on a mounted file system.
 
-    Each step opens only files that still share everything with another.
+    Each step opens only files that still share everything with another; digests are trees over chunks, so
+    that many tasks read a large file.
     """
-    signed = read_survivors(files.filter("size > 0"), ["size"], "quick")
-    digested = read_survivors(signed.filter("quick is not null"), ["size", "quick"], "digest")
+    signed = materialize(read_survivors(files.filter("size > 0"), ["size"], "quick").filter("quick is not null"), "quick")
+    left = buckets(signed, F.concat_ws(":", F.col("size").cast("string"), "quick")).drop("key")
+    whole = tree_digests(left.select("path", F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end")), chunk)
+    digested = left.join(whole.select("path", F.col("end").alias("size"), "digest"), ["path", "size"])
     return claims(buckets(digested.filter("digest is not null"), F.concat_ws(":", F.col("size").cast("string"), "digest")), "exact")
 
 
+def region_files(files: DataFrame, include_untagged: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """same_region() for files (file_id, path, ext, size) on a mounted file system: bounds first, digests of regions whose length another shares."""
+    bounds = regions(files, content=None, digest=False).filter("start is not null").drop("digest")
+    found = materialize(bounds.join(files.select("file_id", "path", "size"), "file_id"), "bounds")
+    if not include_untagged:
+        found = found.filter("not (start = 0 and end = size)")
+    left = buckets(found, F.col("end") - F.col("start")).drop("key")
+    return same_region(left.join(tree_digests(left, chunk), ["path", "start", "end"]), include_untagged)
+
+
 def quick_signature(content: Column, window: int = 65536) -> Column:
     """Digest of the length and of the first and last ``window`` bytes; the tail only beyond twice the window."""
     data = content.cast("binary")
@@ -95,31 +111,42 @@ def same_name(files: DataFrame) -> DataFrame:
     return claims(buckets(files, F.col("name_key")), "name")
 
 
-def compatible(a: set, b: set, x: float, y: float) -> bool:
-    """One set of artists holds the other and, where both durations are known, they agree."""
-    return (a <= b or b <= a) and (not x or not y or abs(x - y) <= FEAT_SECONDS)
+def credit_clusters(files: list[tuple]) -> Iterator[tuple[int, int]]:
+    """(anchor, file_id) of files (file_id, artists, duration) in order: the first takes every later compatible one, then the next free one.
 
-
-def _credit_clusters(bucket: pd.DataFrame) -> pd.DataFrame:
-    rows = bucket.sort_values("path")
-    people, seconds, ids = [set(a) for a in rows["artist_set"]], rows["duration"].fillna(0).tolist(), rows["file_id"].tolist()
-    free, out = list(range(len(rows))), []
+    Artists are bits of one number, so that one set holds another if their union is the larger."""
+    place: dict[str, int] = {}
+    for _, artists, _ in files:
+        for artist in artists:
+            place.setdefault(artist, 1 << len(place))
+    free = [(i, sum(place[a] for a in artists), seconds or 0) for i, artists, seconds in files]
     while free:
-        anchor, *others = free
-        own = [k for k in others if compatible(people[anchor], people[k], seconds[anchor], seconds[k])]
-        out += [(f"{bucket['key'].iloc[0]}|{ids[anchor]}", ids[k]) for k in [anchor, *own]] if own else []
-        free = [k for k in others if k not in set(own)]
-    return pd.DataFrame(out, columns=["key", "file_id"])
+        anchor, who, seconds = free[0]
+        fits = [(p | who) in (p, who) and (not x or not seconds or abs(x - seconds) <= FEAT_SECONDS) for _, p, x in free[1:]]
+        if any(fits):
+            yield anchor, anchor
+            yield from ((anchor, f[0]) for f, fit in zip(free[1:], fits, strict=True) if fit)
+        free = [f for f, fit in zip(free[1:], fits, strict=True) if not fit]
+
+
+def _credits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Clusters of the buckets of a partition, which come one after the other; a bucket has few files."""
+    rows = (row for batch in batches for row in zip(*(batch[n].to_pylist() for n in ("key", "file_id", "artist_set", "duration")), strict=True))
+    found = ((f"{key}|{anchor}", i) for key, group in groupby(rows, key=lambda r: r[0]) for anchor, i in credit_clusters([r[1:] for r in group]))
+    while part := list(islice(found, 10_000)):
+        yield pa.RecordBatch.from_pydict({"key": [k for k, _ in part], "file_id": [i for _, i in part]}, pa.schema([("key", pa.string()), ("file_id", pa.int64())]))
 
 
 def same_song(files: DataFrame) -> DataFrame:
     """Equal titles without guest credits and compatible artists and durations.
 
     Titles that more than FEAT_BUCKET files share say nothing and are left out by rule. In a bucket,
-    the first file by path takes every later compatible one, then the next free file, and so on.
+    the first file by path takes every later compatible one, then the next free file, and so on. Artists are
+    compatible when one set holds the other, durations when one is unknown or they differ by at most FEAT_SECONDS.
     """
-    rows = buckets(files, F.col("core_key"), FEAT_BUCKET).select("key", "file_id", "path", "artist_set", "duration")
-    return claims(rows.groupBy("key").applyInPandas(_credit_clusters, "key string, file_id bigint"), "feat")
+    rows = buckets(files, F.col("core_key"), FEAT_BUCKET).select("key", "path", F.col("file_id").cast("bigint").alias("file_id"), "artist_set", F.col("duration").cast("double").alias("duration"))
+    dealt = rows.repartition("key").sortWithinPartitions("key", "path")
+    return claims(dealt.mapInArrow(_credits, "key string, file_id bigint"), "feat")
 
 
 def close_duration(files: DataFrame) -> DataFrame:

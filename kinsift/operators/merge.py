@@ -74,6 +74,29 @@ def numbered(rows: DataFrame, order: list, name: str, pieces: str = "_piece") ->
     return dealt.withColumn("_at", at).join(F.broadcast(before), F.col(pieces) == F.col("_p")).withColumn(name, (F.col("_before") + F.col("_at")).cast("bigint")).drop("_at", "_p", "_before", "_n", pieces)
 
 
+#: Rows from which a group is numbered in ranges.
+LARGE = 1_000_000
+
+
+def placed(rows: DataFrame, order: list, name: str, group: str = "gid", large: int = LARGE) -> DataFrame:
+    """rows with ``name`` (int): their place in an order within each group, from 1.
+
+    Groups of ``large`` rows and more are dealt to ranges of group and order; a row's place is that in its range
+    after the rows that its group has in the ranges before. So no task holds a large group, and results do not depend on the number.
+    """
+    hot = materialize(rows.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") >= large).select(F.col(group).alias("_hot")), "large")
+    plain = lambda df, *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    if hot.isEmpty():
+        return rows.withColumn(name, plain(rows, group))
+    few = rows.join(F.broadcast(hot), F.col(group) == F.col("_hot"), "left_anti")  # at most a large-th of all rows
+    many = rows.join(F.broadcast(hot), F.col(group) == F.col("_hot"), "left_semi")
+    dealt = materialize(many.repartitionByRange(group, *order).withColumn("_piece", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(F.col(group).alias("_group"), F.col("_piece").alias("_range")).agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("_group").orderBy("_range")) - F.col("_n"))  # a row per group and range
+    at = dealt.withColumn("_at", plain(dealt, group, "_piece")).join(before, (F.col(group) == F.col("_group")) & (F.col("_piece") == F.col("_range")))
+    return few.withColumn(name, plain(few, group)).unionByName(at.withColumn(name, (F.col("_before") + F.col("_at")).cast("int")).select(*rows.columns, name))
+
+
 def number_groups(groups: DataFrame) -> DataFrame:
     """groups with gid from 1: by confidence, then reclaimable bytes, both falling, then the smallest path."""
     return numbered(groups, [F.col("confidence").desc(), F.col("reclaimable").desc(), F.col("first_path").asc()], "gid")

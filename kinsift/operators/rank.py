@@ -1,16 +1,17 @@
 """Which copy of a group to keep, and why.
 
 Rows are members with a column ``gid`` and those of the catalogue. Groups are ranked by a window per
-group; groups of copies larger than a task can sort are met first by an aggregate (best_rows).
+group, large ones by ranges of it; the best copy alone takes an aggregate (best_rows).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinsift.functions.fmt import label
 from kinsift.functions.text import folder_of, looks_like_copy, name_of, stem_of
+from kinsift.operators.merge import placed
 from kinsift.plans.config import PASSING_FOLDERS
 
 
@@ -47,8 +48,7 @@ def best_rows(members: DataFrame) -> DataFrame:
 
 def ranked(members: DataFrame) -> DataFrame:
     """members with rank (1 is the copy to keep) and best."""
-    place = F.row_number().over(Window.partitionBy("gid").orderBy(F.col("score").desc()))
-    rows = with_score(members).withColumn("rank", place)
+    rows = placed(with_score(members), [F.col("score").desc()], "rank")
     return rows.withColumn("best", F.col("rank") == 1).drop("score")
 
 
@@ -99,7 +99,7 @@ SORTABLE = {"name": False, "folder": False, "size": True, "duration": True, "bit
 
 def in_order(members: DataFrame) -> DataFrame:
     """members with place: by size, falling, then path, within the group."""
-    return members.withColumn("place", F.row_number().over(Window.partitionBy("gid").orderBy(F.col("size").desc(), "path")))
+    return placed(members, [F.col("size").desc(), F.col("path").asc()], "place")
 
 
 def sorted_members(members: DataFrame, column: str, ascending: bool = True) -> DataFrame:

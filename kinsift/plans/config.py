@@ -62,6 +62,8 @@ class ScanConfig:
     use_size: bool = True
     include_untagged: bool = False
     unicode: bool = True
+    #: Partitions that files are dealt to before their keys are computed; None leaves those of a catalogue in many splits.
+    key_partitions: int | None = None
 
     def __post_init__(self):
         if self.mode not in ("audio", "all", "custom"):

@@ -36,8 +36,7 @@ def query(sql: str | None = None) -> Callable:
 
 # ---- shared by the queries ----------------------------------------------------------------------
 
-#: The fixtures' texts are ASCII: no Python is needed to fold them.
-CONFIG = ScanConfig(mode="all", min_size=0, unicode=False)
+CONFIG = ScanConfig(mode="all", min_size=0, key_partitions=8)
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,14 +44,23 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("tag_fields", catalog.tag_fields(F.col("artist"), F.col("title"), F.col("album"))).withColumn("has_cover", F.col("file_id") % 4 == 0)
 
 
-def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracks with their keys, computed once."""
-    return materialize(detect.with_keys(tracks(spark, sf_dir), unicode=False), "keys")
+def dealt(files: DataFrame) -> DataFrame:
+    """files over all cores: the table behind the tracks is one split, and keys cost more than moving its rows."""
+    return files.repartition(files.sparkSession.sparkContext.defaultParallelism)
+
+
+KEY_COLUMNS = ["tag_key", "title_key", "core_key", "name_key", "artist_set"]
+
+
+def keyed(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
+    """Tracks with the wanted keys (all, if none is named), computed once."""
+    rows = detect.with_keys(dealt(tracks(spark, sf_dir)))
+    return materialize(rows.drop(*(k for k in KEY_COLUMNS if wanted and k not in wanted)), "keys")
 
 
 def tag_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of tracks with one tag key, numbered by their smallest id; confidence by rule of the number."""
-    rows = detect.buckets(keyed(spark, sf_dir), F.col("tag_key"))
+    rows = detect.buckets(keyed(spark, sf_dir, "tag_key"), F.col("tag_key"))
     ids = rows.groupBy("key").agg(F.min("file_id").alias("gid"))
     return materialize(rows.join(ids, "key").withColumn("match_method", F.lit("tag")), "members")
 
@@ -205,7 +213,7 @@ def region_groups(spark, sf_dir):
 
 
 def _bucket(spark, sf_dir, key: str) -> DataFrame:
-    rows = detect.buckets(keyed(spark, sf_dir), F.col(key)).select("file_id", "key")
+    rows = detect.buckets(keyed(spark, sf_dir, key), F.col(key)).select("file_id", "key")
     return rows.join(rows.groupBy("key").agg(F.count("*").alias("files")), "key").select("file_id", "key", "files")
 
 
@@ -228,20 +236,20 @@ WORDS = rf"list_sort(list_distinct(list_filter(list_transform(string_split(artis
 AGREE = "len(list_intersect(free[1].w, x.w)) = least(len(free[1].w), len(x.w)) and (free[1].d = 0 or x.d = 0 or abs(free[1].d - x.d) <= 2.5)"
 
 
-@query(
-    with_views("tracks")
-    + rf""",
+CREDITS = rf"""
 c as (select file_id, path, duration as d, {CORE} as core, {WORDS} as w from tracks),
 k as (select core as key, list({{'id': file_id, 'w': w, 'd': d}} order by path) as free from c where len(w) > 0 and length(core) >= 3 group by core having count(*) between 2 and 60),
 hop(key, free) as (
   select key, free from k
   union all
   select key, list_filter(free[2:], lambda x: not ({AGREE})) from hop where len(free) > 1),
-g as (select key || '|' || free[1].id as key, free[1].id as anchor, list_filter(free[2:], lambda x: {AGREE}) as own from hop where len(free) > 1)
-select key, unnest(list_prepend(anchor, list_transform(own, lambda x: x.id))) as file_id from g where len(own) > 0"""
-)
+g as (select key || '|' || free[1].id as key, free[1].id as anchor, list_filter(free[2:], lambda x: {AGREE}) as own from hop where len(free) > 1),
+credited as (select key, unnest(list_prepend(anchor, list_transform(own, lambda x: x.id))) as file_id from g where len(own) > 0)"""
+
+
+@query(with_views("tracks") + f", {CREDITS} select key, file_id from credited")
 def feat_groups(spark, sf_dir):
-    return detect.same_song(keyed(spark, sf_dir)).select("key", "file_id")
+    return detect.same_song(keyed(spark, sf_dir, "core_key", "artist_set")).select("key", "file_id")
 
 
 # ---- rules by closeness -------------------------------------------------------------------------
@@ -285,7 +293,7 @@ d as (select file_id, c.k, max(a) as b from c join hop2 on c.k = hop2.k and a <=
 select file_id, min(file_id) over w as "group", count(*) over w as files from d window w as (partition by k, b) qualify count(*) over w > 1"""
 )
 def duration_groups(spark, sf_dir):
-    rows = materialize(keyed(spark, sf_dir), "keys")
+    rows = keyed(spark, sf_dir, "tag_key")
     found = detect.close_duration(detect.unclaimed(rows, detect.same_tags(rows)))
     sizes = found.groupBy("key").agg(F.min("file_id").alias("group"), F.count("*").alias("files"))
     return found.join(sizes, "key").select("file_id", "group", "files")
@@ -315,7 +323,7 @@ def _labels() -> str:
 
 def _resolved(spark, sf_dir):
     files = tracks(spark, sf_dir)
-    rows = materialize(detect.with_keys(files, unicode=False), "keys")
+    rows = keyed(spark, sf_dir, "tag_key", "title_key", "name_key")
     found = detect.same_tags(rows).union(detect.same_title(rows)).union(detect.same_name(rows))
     return merge.merge(found, [m for m, _ in STAGES]), files
 
@@ -339,7 +347,46 @@ def group_confidence(spark, sf_dir):
     return groups.select("gid", "group", F.array_join("methods", ",").alias("methods"), "confidence", "combined", "files", "total_size", "reclaimable")
 
 
-@query()
+def _scan_sql() -> str:
+    """The whole scan in SQL: rules stage by stage, components, the two rules by closeness on what is left, numbering and ranking."""
+    names, sure = ("tag", "feat", "title", "name", "duration", "size"), (92, 90, 72, 70, 58, 40)
+    shared = lambda n, key: f"select {n} as stage, cast({key} as varchar) as key, file_id as f from keys where {key} is not null qualify count(*) over (partition by {key}) > 1"
+    equal = " union all ".join([shared(0, "tag_key"), "select 1, key, file_id from credited", shared(2, "title_key"), shared(3, "name_key")])
+    out = [KEYS, CREDITS, f"equal as ({equal})", "star as (select stage, f, min(f) over (partition by stage, key) as g from equal)", "l as (select -1 as stage, file_id as f, file_id as label from keys)"]
+    for n in range(4):
+        out.append(f"e{n} as (select f, g from star where stage <= {n} union select g, f from star where stage <= {n})")
+        out.append(f"r{n}(f, g) as (select file_id, file_id from keys union select r.f, e.g from r{n} r join e{n} e on r.g = e.f)")
+        out.append(f"l{n} as (select f, min(g) as label from r{n} group by f)")
+        before = "l" if n == 0 else f"l{n - 1}"
+        out.append(f"c{n} as (select l{n}.label as label, {n} as stage from l{n} join {before} p on p.f = l{n}.f group by l{n}.label having count(distinct p.label) > 1)")
+    window = ANCHORS.format(limit="a + 1.5").replace("hop", "hop_d").replace(" x ", " xd ")
+    ratio = ANCHORS.format(limit="a * (1 + cast(0.02 as double))").replace("hop", "hop_s").replace(" x ", " xs ")
+    out += [
+        "pd as (select file_id, duration as v, cast(size as double) as s from keys where duration >= 20 and file_id not in (select f from equal))",
+        "xd as (select v from pd)",
+        window,
+        "cd as (select file_id, s, max(a) as k from pd join hop_d on a <= v group by all)",
+        "hop_b(k, a) as (select k, min(s) from cd group by k union all select h.k, (select min(s) from cd where cd.k = h.k and s > h.a * 1.25) from hop_b h where h.a is not null)",
+        "dd as (select file_id, cd.k, max(a) as b from cd join hop_b on cd.k = hop_b.k and a <= s group by all)",
+        "near_d as (select file_id as f, min(file_id) over w as label from dd window w as (partition by k, b) qualify count(*) over w > 1)",
+        "ps as (select file_id, cast(size as double) as v from keys where file_id not in (select f from equal) and file_id not in (select f from near_d))",
+        "xs as (select v from ps)",
+        ratio,
+        "cs as (select file_id, max(a) as k from ps join hop_s on a <= v group by all)",
+        "near_s as (select file_id as f, min(file_id) over w as label from cs window w as (partition by k) qualify count(*) over w > 1)",
+        "first_of as (select f, min(stage) as stage from equal group by f)",
+        "placed as (select l3.f, label, stage from l3 join first_of on first_of.f = l3.f union all select f, label, 4 from near_d union all select f, label, 5 from near_s)",
+        "credit as (" + " union all ".join(f"select m.label, c.stage from c{n} c join l3 m on m.f = c.label" for n in range(4)) + " union all select label, 4 from near_d union all select label, 5 from near_s)",
+        "sure_of as (select label, min(case stage " + " ".join(f"when {k} then {c}" for k, c in enumerate(sure)) + " end) as confidence from credit group by label)",
+        "sizes_of as (select label, cast(sum(size) - max(size) as bigint) as reclaimable, min(path) as first_path from placed join tracks on file_id = f group by label)",
+        "numbered as (select label, confidence, row_number() over (order by confidence desc, reclaimable desc, first_path) as gid from sizes_of join sure_of using (label))",
+        "whole as (select gid, confidence, case stage " + " ".join(f"when {k} then '{m}'" for k, m in enumerate(names)) + f" end as match_method, keys.*, cast(artist <> '' as int) + cast(title <> '' as int) + cast(album <> '' as int) as tag_fields, file_id % 4 = 0 as has_cover, {COPY} as is_copy, contains(lower(path), '/temp') as passing, length(path) - length(replace(path, '/', '')) as depth from placed join numbered using (label) join keys on file_id = f)",
+        "ordered as (select *, row_number() over (partition by gid order by is_copy, passing, bitrate desc, tag_fields desc, has_cover desc, size desc, round_even(duration, 1) desc, depth, mtime_s, path desc) as rank from whole)",
+    ]
+    return with_views("tracks") + ", " + ", ".join(x.strip() for x in out) + " select gid, file_id, match_method, confidence, rank, rank = 1 as best from ordered"
+
+
+@query(_scan_sql())
 def full_scan(spark, sf_dir):
     """All rules that the tracks have columns for, merged, with the copy to keep."""
     found = resolve(tracks(spark, sf_dir), CONFIG)
@@ -685,7 +732,7 @@ def byte_regions(spark, sf_dir):
 def rule_toggles(spark, sf_dir):
     """All rules but one switched off."""
     off = dict.fromkeys(("use_exact", "use_audio", "use_tags", "use_feat", "use_title", "use_duration", "use_size"), False)
-    found, _ = find_claims(tracks(spark, sf_dir), ScanConfig(mode="all", min_size=0, unicode=False, **off))
+    found, _ = find_claims(tracks(spark, sf_dir), ScanConfig(mode="all", min_size=0, **off))
     return found.select("file_id", "key", "method")
 
 

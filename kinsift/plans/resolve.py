@@ -22,7 +22,8 @@ class Resolution:
 
 def find_claims(files: DataFrame, config: ScanConfig) -> tuple[DataFrame, list[str]]:
     """Claims of all rules that are on. Rules by closeness see only files that no rule before claimed."""
-    keyed = detect.with_keys(files.drop("content"), config.unicode)
+    narrow = files.drop("content")
+    keyed = detect.with_keys(narrow.repartition(config.key_partitions) if config.key_partitions else narrow, config.unicode)
     keyed = materialize(keyed, "keys") if config.use_tags or config.use_name else keyed
     found, methods = None, []
     for method, rows in detect.equal_key_stages(files, keyed, config):

@@ -121,7 +121,7 @@ def wav(data: Bytes, most: int = 64) -> Region:
 RULES: dict[str, Callable[[Bytes], Region]] = {".mp3": mpeg, ".aac": mpeg, ".flac": flac, ".m4a": mp4, ".m4b": mp4, ".mp4": mp4, ".wav": wav}
 
 
-def region_of(source: bytes | str, ext: str) -> tuple[int, int, str] | None:
+def region_of(source: bytes | str, ext: str, digest: bool = True) -> tuple[int, int, str | None] | None:
     """(start, end, digest) of a file's content without tags; None if there is no rule or no region of LEAST bytes."""
     rule = RULES.get(ext)
     try:
@@ -129,21 +129,21 @@ def region_of(source: bytes | str, ext: str) -> tuple[int, int, str] | None:
         found = rule(data) if data and data.size else None
         if not found or found[0] < 0 or found[1] > data.size or found[1] - found[0] < LEAST:
             return None
-        return *found, data.digest(*found)
+        return *found, data.digest(*found) if digest else None
     except (OSError, ValueError):
         return None
 
 
-def regions(files: DataFrame, content: str | None = "content") -> DataFrame:
+def regions(files: DataFrame, content: str | None = "content", digest: bool = True) -> DataFrame:
     """(file_id, start, end, digest), null without a region, of files (file_id, ext, and content or path).
 
     Without a content column each task opens the paths it has, which must be on a file system that
-    executors mount; large files are read in pieces.
+    executors mount; large files are read in pieces. Without ``digest`` only what tells the bounds is read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [region_of(source.as_py(), ext.as_py()) if source.is_valid else None for ext, source in zip(batch.column(1), batch.column(2), strict=True)]
+            found = [region_of(source.as_py(), ext.as_py(), digest) if source.is_valid else None for ext, source in zip(batch.column(1), batch.column(2), strict=True)]
             cells = [[None if f is None else f[k] for f in found] for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells[0], pa.int64()), pa.array(cells[1], pa.int64()), pa.array(cells[2], pa.string())], names=["file_id", "start", "end", "digest"])
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinsift.functions.dates import time_text
 from kinsift.functions.fmt import REPORT, bitrate_text, duration_text, label, size_text
 from kinsift.functions.text import display, folder_of, name_of, short_folder
-from kinsift.operators.rank import reasons
+from kinsift.operators.rank import in_order, reasons
 
 #: Column names of report(), in the order of REPORT's headers.
 COLUMNS = ["gid", "method", "confidence", "state", "name", "folder", "bytes", "size_text", "duration_text", "bitrate_text", "artist", "title", "album", "modified", "reason"]
@@ -81,7 +81,7 @@ def deletion_totals(deletions: DataFrame) -> DataFrame:
 def view(members: DataFrame, groups: DataFrame, lang: str = "fa") -> DataFrame:
     """The result as people see it: formatted and raw columns of each file, its group's figures, the best flag."""
     rows = members.join(groups.select("gid", "primary_method", "confidence", "combined", "files", "total_size", "reclaimable"), "gid")
-    return rows.withColumns(
+    return in_order(rows).withColumns(
         {
             "name": name_of(F.col("path")),
             "folder_text": short_folder(folder_of(F.col("path"))),
@@ -91,6 +91,5 @@ def view(members: DataFrame, groups: DataFrame, lang: str = "fa") -> DataFrame:
             "bitrate_text": bitrate_text(F.col("bitrate"), lang),
             "modified_text": time_text(F.timestamp_seconds("mtime_s"), lang),
             "method_text": label(F.concat(F.lit("method."), "primary_method"), lang),
-            "place": F.row_number().over(Window.partitionBy("gid").orderBy(F.col("size").desc(), "path")),
         }
     )

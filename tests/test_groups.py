@@ -228,3 +228,36 @@ def test_config_checks_itself():
     with pytest.raises(ValueError, match="mode"):
         ScanConfig(mode="x")
     assert [m for m, _, _ in METHODS][0] == "exact"
+
+
+def test_large_groups_are_numbered_in_ranges(ranges):
+    """One group of nearly all rows: its places are those of one sort, and no range holds it."""
+    rows = ranges.range(20_000).select(F.when(F.col("id") % 50 == 0, F.col("id") % 7).otherwise(100).alias("gid"), (F.hash("id") % 500).alias("size"), F.col("id").cast("string").alias("path"))
+    order = [F.col("size").desc(), F.col("path").asc()]
+    one, many = (sorted(map(tuple, merge.placed(rows, order, "place", large=n).collect())) for n in (10**9, 1000))
+    assert one == many
+    assert merge.placed(rows, order, "place", large=1000).filter("gid = 100").select(F.max("place")).first()[0] == 19_600
+    pieces = rows.repartitionByRange("gid", *order).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert pieces < 4000
+
+
+def plain_credits(files):
+    """The rule as a loop over sets."""
+    free, out = list(files), []
+    while free:
+        anchor, *rest = free
+        fits = [f for f in rest if (f[1] <= anchor[1] or anchor[1] <= f[1]) and (not f[2] or not anchor[2] or abs(f[2] - anchor[2]) <= 2.5)]
+        out += [(anchor[0], f[0]) for f in [anchor, *fits] if fits]
+        free = [f for f in rest if f not in fits]
+    return out
+
+
+def test_guest_credits_equal_a_loop_over_sets(spark):
+    rng = random.Random(8)
+    rows = [(k, f"t{rng.randrange(60)}", f"/p{rng.randrange(10**6):06}", sorted(rng.sample("abcdef", rng.randrange(1, 4))), rng.choice([None, 0.0, 100.0, 102.0, 104.0, 200.0])) for k in range(900)]
+    got = {(r.key, r.file_id) for r in detect.same_song(spark.createDataFrame(rows, "file_id long, core_key string, path string, artist_set array<string>, duration double").repartition(5)).collect()}
+    want = set()
+    for title in {r[1] for r in rows}:
+        files = [(r[0], frozenset(r[3]), r[4]) for r in sorted(rows, key=lambda r: r[2]) if r[1] == title]
+        want |= {(f"{title}|{a}", i) for a, i in plain_credits(files)} if 2 <= len(files) <= 60 else set()
+    assert got == want and want

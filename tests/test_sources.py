@@ -60,6 +60,18 @@ def test_regions_by_path_and_missing_files(spark, tmp_path):
     assert got == {1: 140 + len(BODY), 2: None}
 
 
+def test_region_files_by_tree_digests(spark, tmp_path):
+    """Copies under other tags meet; a file that is all region takes part only if asked; one of equal length does not."""
+    other = BODY[:-1] + bytes([BODY[-1] ^ 1])
+    contents = [ID3 + BODY, ID3 + BODY + ID3V1, BODY, ID3 + other, b"RIFF"]
+    for k, data in enumerate(contents):
+        (tmp_path / f"{k}.mp3").write_bytes(data)
+    files = spark.createDataFrame([(k, f"{tmp_path}/{k}.mp3", ".mp3", len(d)) for k, d in enumerate(contents)] + [(9, f"{tmp_path}/none.mp3", ".mp3", 9000)], "file_id long, path string, ext string, size long")
+    for chunk in (999, 1 << 26):
+        assert sorted(r.file_id for r in detect.region_files(files, chunk=chunk).collect()) == [0, 1]
+        assert sorted(r.file_id for r in detect.region_files(files, True, chunk).collect()) == [0, 1, 2]
+
+
 def test_survivors_alone_are_read(spark, tmp_path):
     for name, content in (("a", b"xx"), ("b", b"xy"), ("c", b"zzz")):
         (tmp_path / name).write_bytes(content)
@@ -71,7 +83,8 @@ def test_survivors_alone_are_read(spark, tmp_path):
     more = spark.createDataFrame([(k, f"{tmp_path}/{n}", len(big)) for k, n in enumerate("efghx")], "file_id long, path string, size long")
     quick = {r.file_id: r.quick for r in regions.read_survivors(more, ["size"], "quick").collect()}
     assert quick[0] == quick[1] == quick[2] != quick[3] and quick[4] is None
-    assert sorted(r.file_id for r in detect.exact_files(more).collect()) == [0, 1]
+    for chunk in (1000, 1 << 26):
+        assert sorted(r.file_id for r in detect.exact_files(more, chunk).collect()) == [0, 1]
     held = spark.createDataFrame([(big,)], "content binary").select(detect.quick_signature(F.col("content"))).first()[0]
     assert held == quick[0]
 
