@@ -705,18 +705,29 @@ def script_keys(spark, sf_dir):
 
 @query(
     with_views("doc_files")
-    + """, r as (select file_id, content, strlen(content) as n, [310, 62, 24, 44, 0][file_id % 5 + 1] as s from doc_files)
+    + """, r as (select file_id, content, strlen(content) as n, [case file_id // 5 % 4 when 3 then 320 else 310 end, 62, 24, 44, 0][file_id % 5 + 1] as s from doc_files)
 select file_id, case when n >= 4096 and s > 0 then cast(s as bigint) end as start, case when n >= 4096 and s > 0 then cast(s + n as bigint) end as "end", case when n >= 4096 and s > 0 then sha256(content) end as digest from r"""
 )
 def byte_regions(spark, sf_dir):
-    """Documents between the tags of MPEG, FLAC, MP4 and WAV files; a fifth kind has no rule."""
+    """Documents between the tags of MPEG, FLAC, MP4 and WAV files; a fifth kind has no rule.
+
+    MPEG files end with ID3v1, before it in turn nothing, APEv2 with a header, Lyrics3v2, or APEv2 without
+    one after an ID3v2 tag that has a footer.
+    """
     body = F.col("content").cast("binary")
     big = F.lpad(F.hex(F.octet_length(body)), 8, "0")
     plus8 = F.lpad(F.hex(F.octet_length(body) + 8), 8, "0")
     little = F.concat(*(F.substring(big, k, 2) for k in (7, 5, 3, 1)))
     raw = lambda text: F.lit(text.encode("latin-1"))
+    ape = lambda flags: "\0" * 40 + "APETAGEX\xd0\7\0\0\x48\0\0\0\1\0\0\0" + flags + "\0" * 8
+    tags = [("", ""), ("", "APETAGEX" + "\0" * 24 + ape("\0\0\0\x80")), ("", "LYRICSBEGIN" + "x" * 50 + "000061LYRICS200"), ("3DI" + "\0" * 7, ape("\0" * 4))]
+    turn = F.floor(F.col("file_id") / 5) % 4
+    mpeg = body
+    for k, (foot, tail) in enumerate(tags):
+        head = "ID3\4\0" + ("\x10" if foot else "\0") + "\0\0\2\x2c" + "\0" * 300 + foot
+        mpeg = F.when(turn == k, F.concat(raw(head), body, raw(tail + "TAG" + " " * 125))).otherwise(mpeg)
     files = [
-        (".mp3", F.concat(raw("ID3\3\0\0\0\0\2\x2c" + "\0" * 300), body, raw("TAG" + " " * 125))),
+        (".mp3", mpeg),
         (".flac", F.concat(raw("fLaC\0\0\0\x22" + "\0" * 34 + "\x84\0\0\x10" + "\0" * 16), body)),
         (".m4a", F.concat(raw("\0\0\0\x10ftypM4A \0\0\0\0"), F.unhex(plus8), raw("mdat"), body, raw("\0\0\0\x08free"))),
         (".wav", F.concat(raw("RIFF\0\0\0\0WAVEfmt \x10\0\0\0" + "\0" * 16 + "data"), F.unhex(little), body, raw("\0"))),
@@ -736,6 +747,25 @@ def rule_toggles(spark, sf_dir):
     return found.select("file_id", "key", "method")
 
 
+@query(
+    with_views("tracks")
+    + f""", {KEYS}, {CREDITS},
+n as (select 'tag' as method, count(*) as files from (select 1 from keys where tag_key is not null qualify count(*) over (partition by tag_key) > 1)
+  union all select 'feat', count(*) from credited
+  union all select 'title', count(*) from (select 1 from keys where title_key is not null qualify count(*) over (partition by title_key) > 1)
+  union all select 'name', count(*) from (select 1 from keys where name_key is not null qualify count(*) over (partition by name_key) > 1))
+select off, method, files from n, (values ('use_tags'), ('use_feat'), ('use_title'), ('use_name')) o(off)
+where files > 0 and not (off = 'use_tags' and method <> 'name') and not (off = 'use_feat' and method = 'feat') and not (off = 'use_name' and method = 'name')"""
+)
+def toggle_counts(spark, sf_dir):
+    """Files that each rule by equal keys claims with one switched off. Without tags there are no credits and titles either; titles come with tags."""
+    files, parts = tracks(spark, sf_dir), []
+    for off in ("use_tags", "use_feat", "use_title", "use_name"):
+        found, _ = find_claims(files, ScanConfig(mode="all", min_size=0, use_duration=False, use_size=False, key_partitions=8, **{off: False}))
+        parts.append(found.groupBy("method").agg(F.count("*").alias("files")).select(F.lit(off).alias("off"), "method", "files"))
+    return functools.reduce(DataFrame.union, parts)
+
+
 @query(TAG + " select gid, file_id, size from s where not marked")
 def kept_files(spark, sf_dir):
     rows = select.survivors(marked_members(spark, sf_dir))
