@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,8 @@ from kinsift.storage import materialize
 
 SHARDS, SEED, ROWS = 40, 11, 4096
 
-#: The matrix has at most this many rows, whatever the input: it is drawn on the driver and broadcast.
+#: The matrix that the driver draws and broadcasts has at most this many rows. Beyond, each row stands for several hash
+#: classes, and tasks draw how it is dealt to them, so that a class has about ROWS rows at any size.
 MOST_PARTITIONS = 4096
 
 
@@ -47,7 +49,7 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int
             return k
 
 
-def matrix(rows: list[int], columns: list[int], seed: int) -> list[list[int]]:
+def matrix(rows: list[int], columns: list[int], seed: int | list[int]) -> list[list[int]]:
     """A random matrix with these row and column sums, as a uniform permutation would give it."""
     rng, left, out = np.random.default_rng(seed), list(columns), []
     for n in rows:
@@ -62,6 +64,13 @@ def matrix(rows: list[int], columns: list[int], seed: int) -> list[list[int]]:
     return out
 
 
+def dealt_below(classes: pd.DataFrame, seed: int) -> pd.DataFrame:
+    """The rows of the matrix for the hash classes of one row above, whose columns they share: a draw of the same law."""
+    classes = classes.sort_values("_part")
+    drawn = matrix(classes["count"].tolist(), list(classes["_line"].iloc[0]), [seed, int(classes["_above"].iloc[0])])
+    return pd.DataFrame({"_row": classes["_part"], "_ends": [np.cumsum(line).tolist() for line in drawn]})
+
+
 def shuffle(docs: DataFrame, doc_id: str = "doc_id", shards: int = SHARDS, seed: int = SEED, rows: int = ROWS) -> DataFrame:
     """docs with shard (int) and slot (long): a uniform shuffle, shard sizes at most one apart.
 
@@ -73,18 +82,27 @@ def shuffle(docs: DataFrame, doc_id: str = "doc_id", shards: int = SHARDS, seed:
     docs, names = renamed(docs.drop("shard", "slot"))
     key = F.col(names[doc_id])
     total = docs.count()
-    parts = min(MOST_PARTITIONS, max(1, math.ceil(total / rows)))
+    most = MOST_PARTITIONS
+    classes = max(1, math.ceil(total / rows))
+    above = min(most, classes)
+    parts = above * math.ceil(classes / above)
     # rows of one id (or of none) are told apart by their content, so that no id is a class of its own
     content = F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes])  # maps have no hash
     placed = docs.withColumn("_at", F.xxhash64(F.lit(seed), key, content))
-    placed = placed.withColumn("_part", F.pmod("_at", F.lit(parts)).cast("int"))
-    counts = dict(placed.groupBy("_part").count().collect())  # at most MOST_PARTITIONS rows
+    placed = placed.withColumn("_part", F.pmod("_at", F.lit(parts)))
+    counts = dict(placed.groupBy((F.col("_part") % above).cast("int").alias("_above")).count().collect())  # at most MOST_PARTITIONS rows
     sizes = [total // shards + (j < total % shards) for j in range(shards)]
-    drawn = matrix([counts.get(p, 0) for p in range(parts)], sizes, seed)
-    table = docs.sparkSession.createDataFrame([(p, np.cumsum(line).tolist()) for p, line in enumerate(drawn)], "_row int, _ends array<bigint>")
+    drawn = matrix([counts.get(p, 0) for p in range(above)], sizes, seed)
+    if parts == above:
+        lines = [(p, np.cumsum(line).tolist()) for p, line in enumerate(drawn)]
+        table = F.broadcast(docs.sparkSession.createDataFrame(lines, "_row bigint, _ends array<bigint>"))
+    else:
+        lines = docs.sparkSession.createDataFrame(list(enumerate(drawn)), "_above bigint, _line array<bigint>")
+        held = placed.groupBy("_part").count().withColumn("_above", F.col("_part") % above).join(F.broadcast(lines), "_above")
+        table = materialize(held.groupBy("_above").applyInPandas(lambda classes: dealt_below(classes, seed), "_row bigint, _ends array<bigint>"), "matrix")
     # permute locally and deal by the partition's row of the matrix
     local = Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed + 1), "_at"), "_at")
-    dealt = placed.withColumn("_turn", F.row_number().over(local)).join(F.broadcast(table), F.col("_part") == F.col("_row"))
+    dealt = placed.withColumn("_turn", F.row_number().over(local)).join(table, F.col("_part") == F.col("_row"))
     dealt = dealt.withColumn("_shard", F.size(F.filter("_ends", lambda e: e < F.col("_turn"))).cast("int"))
     # exchange, and permute again: a random piece, then a random order within the piece
     pieces = max(1, math.ceil(total / shards / rows))

@@ -149,6 +149,27 @@ def test_repeat_tells_texts_of_one_id_apart(spark):
 # ---- sharding -----------------------------------------------------------------------------------
 
 
+def test_shuffle_through_a_matrix_of_two_levels(spark, monkeypatch):
+    """More hash classes than the driver draws: same law, and the same places however rows are partitioned."""
+    monkeypatch.setattr(sharding, "MOST_PARTITIONS", 3)
+    ids = spark.range(2000).toDF("doc_id")
+    a, b = (sorted(map(tuple, sharding.shuffle(ids.repartition(n), shards=7, rows=60).collect())) for n in (2, 5))
+    assert a == b and sorted(r[0] for r in a) == list(range(2000))
+    for s in range(7):
+        slots = sorted(r[2] for r in a if r[1] == s)
+        assert slots == list(range(len(slots))) and len(slots) in (285, 286)
+    # rows of one shard come from all over the ids
+    assert all(400 < np.std([r[0] for r in a if r[1] == s]) < 750 for s in range(7))
+
+
+def test_dealt_below_keeps_the_columns():
+    import pandas as pd
+
+    got = sharding.dealt_below(pd.DataFrame({"_part": [9, 3, 6], "count": [5, 7, 0], "_above": [0, 0, 0], "_line": [[4, 0, 8]] * 3}), 1)
+    lines = [np.diff([0, *ends]).tolist() for ends in got["_ends"]]
+    assert got["_row"].tolist() == [3, 6, 9] and np.sum(lines, 0).tolist() == [4, 0, 8] and [sum(x) for x in lines] == [7, 0, 5]
+
+
 def test_shuffle_of_maps_at_any_depth(spark):
     docs = spark.createDataFrame([(None if k % 2 else 1, [{"a": k}], (k, {"b": [k]})) for k in range(60)], "doc_id long, maps array<map<string, int>>, pair struct<n: int, m: map<string, array<int>>>")
     rows = sharding.shuffle(docs, shards=3, rows=4).collect()
