@@ -34,7 +34,7 @@ def check(rows, got):
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return credentials.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    return credentials.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
 
 
 def test_query_equals_plain_patterns(spark):
@@ -62,13 +62,12 @@ def test_empty_table(spark, empty, model):
 @pytest.mark.parametrize("label", credentials.FORMATS)
 def test_formats_that_were_held_out(model, label):
     words = credentials.spelt(label, credentials.FORMATS[label], 300, seed=9)
-    # short words of few letters, or of no format, are hard to tell from ordinary ones; hex of 24 letters is a base span anyway
-    assert sum(model.score(w.encode()) is not None for w in words) >= (0.8 if label in ("assign", "hex") else 0.9) * len(words)
+    assert sum(model.score(w.encode()) is not None for w in words) >= 0.9 * len(words)
 
 
 def test_ordinary_words_are_no_secrets(model):
     words = [w for w in credentials.spelt(credentials.WORD, credentials.WORDS, 600, seed=9) if len(w) >= credentials.SHORTEST]
-    assert sum(model.score(w.encode()) is not None for w in words) <= 0.01 * len(words)
+    assert sum(model.score(w.encode()) is not None for w in words) <= 0.02 * len(words)
     for word in ["internationalization", "2023-10-05T12:30:00", "some_long_variable_name_here", "1234567890123456", "AbstractSingletonProxyFactoryBean"]:
         assert model.score(word.encode()) is None
 
