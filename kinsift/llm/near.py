@@ -1,27 +1,24 @@
-"""Near-dedup of whole texts by SimHash and MinHash: five-word shingles, Jaccard similarity of at least 0.8.
-
-Candidates come from two sides. Fingerprints of the shingle sets that multi-index hashing finds within
-two bits give the nearest copies. At a similarity of 0.8 fingerprints differ in about ten of 64 bits, too
-many for segments long enough to tell texts apart, so 20 keys of five minima each find the rest: two
-texts at 0.8 share a key with probability 1 - (1 - 0.8^5)^20 = 0.9996, more similar ones more surely. A
-pair counts only when the similarity of its shingle sets, computed in full, is high enough.
-
-Small buckets of a key compare all pairs. In a larger one all members are compared with the smallest,
-and those that are near it leave the bucket; the others are told apart by a second key, then by a third:
-they meet again in buckets of texts that share all of these. So a large group of copies costs one comparison
-for each member and key, and texts that only have a passage in common fall apart. Pairs that earlier links join are not compared. A pair at 0.8 shares at
-least two keys with probability 0.996 and three with 0.98 (at 0.85: 0.9998 and 0.998). Buckets that are large
-even then take rounds against their smallest member until no large one is left.
+"""Near-dedup of whole texts by SimHash, MinHash and shared rare shingles: five-word shingles, Jaccard similarity of at least 0.8.
+
+Every pair of texts that is near is found, or its texts are linked without it. First, cheap candidates link most of what is near:
+fingerprints of the shingle sets that multi-index hashing finds within two bits, and 20 keys of five minima each, which two texts at
+0.8 share with probability 0.9996. The members of a key are compared with one of them only, so a large group of copies costs one
+comparison for each member and key.
+
+What these miss is found exactly, by prefix filtering. Two sets of similarity 0.8 share four fifths of the larger one. So if
+all shingles are put in one order, the first of those that they share is among the first fifth (and one more) of each. Texts that
+have such a shingle in common are compared, unless earlier links join them, or sizes, places or odd sketches (whose distance is never
+larger than that of the sets) rule the similarity out. The order puts shingles last that a sample finds frequent: it decides how many pairs are compared, never what is found. A pair
+counts only when the similarity of its shingle sets, computed in full, is high enough.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinsift.llm import simhash
@@ -35,9 +32,14 @@ SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 #: Keys of a text, and minima in each.
 BANDS, MINIMA = 20, 5
 
-#: Members up to which a bucket compares all pairs; keys by which the members of larger ones are told apart, and
-#: members up to which a bucket of that many keys does.
-ALL_PAIRS, LEVELS, LAST_PAIRS = 32, 3, 256
+#: Members of a shingle's bucket beyond which all are compared with one of them, and then with another, before the pairs that are left.
+ALL_PAIRS, LAST_PAIRS = 32, 256
+
+#: One text in so many is looked at for frequent shingles, of which the order knows at most so many.
+SAMPLE, FREQUENT = 8, 200_000
+
+#: 64-bit words of an odd sketch.
+WORDS = 8
 
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * MINIMA, 1), np.uint32)
 XOR, TIMES = _DRAWN[0], _DRAWN[1] | np.uint32(1)
@@ -75,15 +77,60 @@ def _signed(h: int) -> int:
     return h - (h >> 63 << 64)
 
 
-def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, own, node, fp, bands) of every row: Spark's xxhash64 of the text, a hash of its shingle set, its fingerprint, its keys."""
+def frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes that several texts of a sample have, sorted, with how many do: at most FREQUENT of them, the most frequent."""
+
+    def sets(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for _, x in rows:
+            yield (shingles(x).view("<i8").tolist(),)
+
+    whole = F.coalesce(F.col(text), F.lit(""))
+    some = docs.filter(F.pmod(F.xxhash64(whole), F.lit(SAMPLE)) == 0).select(F.lit(0).alias("_none"), text)
+    grams = map_texts(some, "_none", text, "grams array<bigint>", sets).select(F.explode("grams").alias("gram"))
+    counted = materialize(grams.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "frequent")
+    least, total = None, 0
+    for n, shared in sorted(map(tuple, counted.groupBy("n").count().collect()), reverse=True):
+        total += shared
+        if total > FREQUENT:
+            break
+        least = n
+    if least is None:
+        return np.empty(0, "<u8"), np.empty(0, np.int64)
+    found = counted.filter(F.col("n") >= least).toArrow()
+    grams, n = found["gram"].to_numpy().astype("<i8").view("<u8"), found["n"].to_numpy()
+    order = np.argsort(grams)
+    return grams[order], n[order]
+
+
+def first_grams(grams: np.ndarray, known: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first fifth (and one more) of a shingle set, rare ones first: a set that is near shares one of its own first fifth with it."""
+    n = len(grams)
+    if not n:
+        return grams
+    if len(known):
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        grams = grams[np.argsort(np.where(known[at] == grams, often[at], 0), kind="stable")]
+    return grams[: n + 1 + -4 * n // 5]
+
+
+def odd_sketch(grams: np.ndarray) -> np.ndarray:
+    """Bits that an odd number of shingles fall on. Two sketches differ in no more bits than their sets do in shingles."""
+    hit = np.bincount((grams % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(hit.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def sketches(docs: DataFrame, doc_id: str, text: str, known: np.ndarray | None = None, often: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, own, node, fp, bands, size, odd, first) of every row: Spark's xxhash64 of the text, a hash of its shingle set, its
+    fingerprint, its keys, the number of its shingles, their odd sketch and the first of them in an order by how often they occur."""
+    known, often = (np.empty(0, "<u8"), np.empty(0, np.int64)) if known is None else (known, often)
 
     def rows(pairs: Iterator[tuple]) -> Iterator[tuple]:
         for i, x in pairs:
             grams = shingles(x)
-            yield i, _signed(xxhash.xxh64_intdigest(x, 42)), _signed(xxhash.xxh64_intdigest(grams.tobytes(), SEED)), fingerprint(grams), band_keys(grams)
+            node, first = _signed(xxhash.xxh64_intdigest(grams.tobytes(), SEED)), first_grams(grams, known, often)
+            yield i, _signed(xxhash.xxh64_intdigest(x, 42)), node, fingerprint(grams), band_keys(grams), len(grams), odd_sketch(grams).tolist(), first.view("<i8").tolist()
 
-    return map_texts(docs, doc_id, text, "doc_id bigint, own bigint, node bigint, fp bigint, bands array<bigint>", rows)
+    return map_texts(docs, doc_id, text, "doc_id bigint, own bigint, node bigint, fp bigint, bands array<bigint>, size bigint, odd array<bigint>, first array<bigint>", rows)
 
 
 def near_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
@@ -102,7 +149,7 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -
     for end, other in (("a", "b"), ("b", "a")):
         pairs = attach(pairs, grams.withColumnRenamed("node", end), end, F.col(other), "uses", ["grams"], total).withColumnRenamed("grams", f"grams_{end}")
     both = F.size(F.array_intersect("grams_a", "grams_b"))
-    return pairs.filter(both >= SIMILARITY * (F.size("grams_a") + F.size("grams_b") - both)).select("a", "b")
+    return pairs.filter(9 * both >= 4 * (F.size("grams_a") + F.size("grams_b"))).select("a", "b")  # both of all at SIMILARITY, in whole numbers
 
 
 def by_fingerprint(nodes: DataFrame) -> DataFrame:
@@ -118,44 +165,59 @@ def by_fingerprint(nodes: DataFrame) -> DataFrame:
     return same.union(across)
 
 
+def may_be_near(a: str, b: str) -> Column:
+    """Whether sizes and odd sketches of two nodes allow the similarity: a ninth of both sizes may be apart."""
+    x, y = (lambda name, end=end: F.col(f"{end}.{name}") for end in (a, b))
+    apart = sum((F.bit_count(x("odd")[k].bitwiseXOR(y("odd")[k])) for k in range(1, WORDS)), F.bit_count(x("odd")[0].bitwiseXOR(y("odd")[0])))
+    return (5 * F.least(x("size"), y("size")) >= 4 * F.greatest(x("size"), y("size"))) & (9 * apart <= x("size") + y("size"))
+
+
+def still_open(rows: DataFrame, joined: DataFrame | None, lead: Column) -> DataFrame:
+    """rows (key, node, ...) of keys whose nodes are not all linked yet, with each node's part and that member of the key
+    for which ``lead`` is smallest."""
+    rows = rows.withColumn("part", F.col("node")) if joined is None else rows.join(joined, F.col("node") == F.col("_node"), "left").withColumn("part", F.coalesce("part", "node")).drop("_node")
+    rows = materialize(rows, "live")
+    lead = F.min(F.struct(lead.alias("order"), "node", "part")).alias("lead")
+    found = rows.groupBy("key").agg(F.min("part").alias("one"), F.max("part").alias("other"), lead).filter("one <> other")
+    return rows.join(materialize(found.select("key", "lead"), "open"), "key")
+
+
 def linked(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """(_node, part): the smallest node that near pairs lead to, for nodes (node, own, rank, fp, bands) that have any."""
-    live, more = materialize(nodes.select("rank", "node", F.posexplode("bands").alias("band", "key")), "keys"), by_fingerprint(nodes)
-    joined = nodes.select(F.col("node").alias("_node"), F.col("node").alias("part")).limit(0)
-    for level in count(1):
-        # pairs within what is linked already are not needed any more
-        live = live.join(joined, F.col("node") == F.col("_node"), "left").select(F.struct("rank", "node", F.coalesce("part", "node").alias("part")).alias("at"), "band", "key")
-        live = materialize(live, "live")
-        held = live.groupBy("key").agg(F.count("*").alias("n"), F.min("at").alias("lead"), F.min("at.part").alias("one"), F.max("at.part").alias("other")).filter("one <> other")
-        held = materialize(held.select("key", "n", "lead"), "buckets")
-        met = materialize(attach(live, held, "key", F.col("at.node"), "n", ["n", "lead"], live.count()).filter("n > 1"), "met")
-        most = ALL_PAIRS if level < LEVELS else LAST_PAIRS
-        small = met.filter(F.col("n") <= most).groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("all"))
-        small = small.select("all", F.posexplode("all").alias("k", "a")).select("a", F.explode(F.slice("all", F.col("k") + 2, most)).alias("b")).filter("a.part <> b.part")
-        large = met.filter((F.col("n") > most) & (F.col("at") != F.col("lead")))
-        ends = F.col("a.node").alias("a"), F.col("b.node").alias("b")
-        pairs = small.union(large.select("lead", "at")).select(*ends)
-        pairs, more = (pairs.union(more.select(*ends)) if more is not None else pairs).distinct(), None
-        found = materialize(near_pairs(materialize(pairs, "pairs"), nodes, docs, text), "near")
-        # what was linked before goes in as stars, so that only new pairs cost rounds
-        known = joined.filter("part <> _node").select(F.col("part").alias("a"), F.col("_node").alias("b"))
-        joined = connected_components(known.union(found), "a", "b").select(F.col("node").alias("_node"), F.col("component").alias("part"))
-        # who is near the smallest of a bucket leaves it; the others meet again by one more key, a set of keys once
-        rest = large.join(found, (F.col("lead.node") == F.col("a")) & (F.col("at.node") == F.col("b")), "left_anti")
-        rest = rest.select("at.rank", "at.node", "band", "key")
-        if level < LEVELS:
-            rest = rest.join(nodes.select(F.col("node").alias("_node"), "bands"), F.col("node") == F.col("_node"))
-            rest = rest.select("rank", "node", F.col("band").alias("_last"), F.col("key").alias("_key"), F.posexplode("bands").alias("band", "more"))
-            rest = rest.filter("band > _last").withColumn("key", F.xxhash64("_key", "more"))
-        live = materialize(rest.select("rank", "node", "band", "key"), "keys")
-        if live.isEmpty():
-            return joined
+    """(_node, part): the smallest node that near pairs lead to, for nodes (node, own, rank, fp, bands, size, odd, first) that have any."""
+    firsts = nodes.select("node", "size", F.posexplode("first").alias("place", "key"))
+    held = materialize(firsts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    shared = materialize(firsts.join(held, "key"), "shared")
+    looks = nodes.select("node", "size", "odd")
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+        both = pairs.join(looks.alias("x"), F.col("a") == F.col("x.node")).join(looks.alias("y"), F.col("b") == F.col("y.node"))
+        return both.filter(may_be_near("x", "y")).select("a", "b")
+
+    def join(pairs: DataFrame, joined: DataFrame | None) -> DataFrame:
+        found = near_pairs(materialize(pairs, "pairs"), nodes, docs, text)
+        if joined is not None:  # what was linked before goes in as stars, so that only new pairs cost rounds
+            found = joined.filter("part <> _node").select(F.col("part").alias("a"), F.col("_node").alias("b")).union(found)
+        return materialize(connected_components(found, "a", "b").select(F.col("node").alias("_node"), F.col("component").alias("part")), "joined")
+
+    large = lambda least: shared.filter(F.col("n") > least).select("key", "node")
+    stars = lambda rows, joined, lead: still_open(rows, joined, lead).filter("lead.part <> part").select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+    cheap = stars(nodes.select(F.explode("bands").alias("key"), "node").union(large(ALL_PAIRS)), None, F.col("node"))
+    joined = join(plausible(cheap.union(by_fingerprint(nodes).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))), None)
+    joined = join(plausible(stars(large(LAST_PAIRS), joined, F.xxhash64("node", "key"))), joined)
+    # all that is left: pairs not linked yet that share one of their first shingles, at places that allow the similarity
+    left = still_open(shared.select("key", "node", "place"), joined, F.col("node")).drop("lead")
+    left = materialize(left.join(looks, "node"), "left")
+    a, b = left.alias("a"), left.alias("b")
+    after = 9 * F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")) >= 4 * (F.col("a.size") + F.col("b.size"))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part")) & after & may_be_near("a", "b"))
+    return join(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), joined)
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, own, component_id) of every row: the smallest id that near pairs lead to."""
-    rows = materialize(sketches(docs, doc_id, text), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min("own").alias("own"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    rows = materialize(sketches(docs, doc_id, text, *frequent(docs, text)), "sketches")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min("own").alias("own"), *(F.first(c).alias(c) for c in ("fp", "bands", "size", "odd", "first")))
     nodes = materialize(nodes.withColumn("rank", F.coalesce("least", F.lit((1 << 63) - 1))), "nodes")
     parts = nodes.join(linked(nodes, docs, text), F.col("node") == F.col("_node"), "left").select("node", "least", "n", F.coalesce("part", "node").alias("part"))
     ids = parts.groupBy("part").agg(F.min("least").alias("component_id"))

@@ -75,3 +75,71 @@ def test_texts_with_a_passage_in_common_stay(spark, monkeypatch):
     passage = " ".join(f"p{k}" for k in range(200))
     rows = [(k, f"{passage} {' '.join(f'x{rng.randrange(10**6)}' for _ in range(60))}") for k in range(60)]
     assert near.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).count() == 60
+
+
+def brute_force(rows):
+    """The smallest id that near pairs lead to, over all pairs."""
+    part = {i: i for i, _ in rows}
+
+    def root(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    for k, (i, x) in enumerate(rows):
+        for j, y in rows[:k]:
+            if plain_jaccard(x, y) >= 0.8:
+                a, b = sorted((root(i), root(j)))
+                part[b] = a
+    return {i: root(i) for i, _ in rows}
+
+
+def chains(rng, families, size):
+    """Families in which each text is a changed copy of another, so that many are near some but not the first."""
+    rows = []
+    for _ in range(families):
+        texts = [[f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(40, 120))]]
+        while len(texts) < size:
+            copy = list(rng.choice(texts))
+            for at in rng.sample(range(len(copy)), rng.randrange(1, 3)):
+                copy[at] = f"new{rng.randrange(10**6)}"
+            texts.append(copy)
+        rows += [" ".join(t) for t in texts]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near, "ALL_PAIRS", 2)
+    monkeypatch.setattr(near, "LAST_PAIRS", 2)
+    rows = chains(random.Random(5), 6, 30)
+    got = near.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_force(rows)
+
+
+def test_pairs_that_share_no_key_are_found(spark, monkeypatch):
+    """No candidate of fingerprints or keys: all links come from the first shingles."""
+    monkeypatch.setattr(near, "band_keys", lambda grams: [])
+    rows = chains(random.Random(6), 6, 30)
+    got = near.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_force(rows)
+
+
+def test_similarity_of_exactly_four_fifths_counts():
+    """The first shingles of sets at the limit meet, whatever the order."""
+    rng = np.random.default_rng(8)
+    for n in range(1, 60):
+        all_of = np.sort(rng.integers(0, 1 << 63, 10 * n, dtype=np.int64)).astype("<u8")
+        both = rng.permutation(all_of)
+        a, b = np.sort(both[: 9 * n]), np.sort(np.concatenate([both[: 8 * n], both[9 * n :]]))
+        known = np.sort(rng.choice(all_of, n, replace=False))
+        often = rng.integers(2, 9, n)
+        assert set(near.first_grams(a, known, often)) & set(near.first_grams(b, known, often))
+
+
+def test_odd_sketches_are_never_farther_apart_than_the_sets():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 100, 3000):
+        a, b = (np.unique(rng.integers(0, 4 * n + 1, n, dtype=np.int64)).astype("<u8") for _ in "ab")
+        apart = sum(int(x).bit_count() for x in (near.odd_sketch(a) ^ near.odd_sketch(b)).view("<u8"))
+        assert apart <= len(np.setxor1d(a, b))
