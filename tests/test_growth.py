@@ -22,3 +22,12 @@ def test_toggles_compute_keys_once_and_over_all_cores(spark, monkeypatch):
     calls = counted(monkeypatch)
     QUERIES["toggle_counts"](spark, SMALL)
     assert calls == [spark.sparkContext.defaultParallelism]
+
+
+def test_rules_that_are_off_need_no_keys_and_one_split_is_dealt_out(spark, monkeypatch):
+    calls, held = counted(monkeypatch), []
+    same_name = detect.same_name
+    monkeypatch.setattr(detect, "same_name", lambda files: held.append(files.columns) or same_name(files))
+    QUERIES["rule_toggles"](spark, SMALL)
+    assert calls == [spark.sparkContext.defaultParallelism]
+    assert "name_key" in held[0] and not {"tag_key", "title_key", "core_key", "artist_set"} & {*held[0]}
