@@ -69,8 +69,11 @@ def write_report(rows: DataFrame, path: str, lang: str = "fa", one_file: bool =
 
 
 def log_deletions(deletions: DataFrame, path: str, run: str) -> None:
-    """Adds (ts, path, how, ok, error, size) under a folder per day and run; a run that is logged again replaces its own rows."""
-    rows = deletions.withColumn("day", F.to_date("ts")).withColumn("run", F.lit(run))
+    """Adds (ts, path, how, ok, error, size) under a folder per day and run; a run that is logged again replaces its own rows.
+
+    Rows are dealt to ranges of days first, so that files are about as many as days and tasks, not one for each day in each task.
+    """
+    rows = deletions.withColumn("day", F.to_date("ts")).withColumn("run", F.lit(run)).repartitionByRange("day", "path")
     rows.write.partitionBy("day", "run").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 

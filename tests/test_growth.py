@@ -31,3 +31,11 @@ def test_rules_that_are_off_need_no_keys_and_one_split_is_dealt_out(spark, monke
     QUERIES["rule_toggles"](spark, SMALL)
     assert calls == [spark.sparkContext.defaultParallelism]
     assert "name_key" in held[0] and not {"tag_key", "title_key", "core_key", "artist_set"} & {*held[0]}
+
+
+def test_log_has_few_files_for_many_days(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 8).select(F.timestamp_seconds(F.col("id") % 100 * 86400).alias("ts"), F.col("id").cast("string").alias("path"), F.lit("trash").alias("how"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), F.lit(1).alias("size"))
+    report.log_deletions(rows, str(tmp_path / "log"), "first")
+    files = [f for _, _, names in os.walk(tmp_path / "log") for f in names if f.endswith(".parquet")]
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 4000
+    assert len(files) <= 100 + 8
