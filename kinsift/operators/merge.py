@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kinsift.operators.components import connected_components
 from kinsift.operators.detect import CONFIDENCE, STAGE
+from kinsift.operators.skew import growing
 from kinsift.storage import materialize
 
 
@@ -22,19 +23,19 @@ def merge(claims: DataFrame, methods: list[str]) -> tuple[DataFrame, DataFrame]:
     labels = materialize(claims.select("file_id", F.col("file_id").alias("label")).distinct(), "labels")
     credits = None
     for method in methods:
-        own = claims.filter(F.col("method") == method).join(labels, "file_id").select("key", "label").distinct()
+        own = claims.filter(F.col("method") == method).join(growing(labels), "file_id").select("key", "label").distinct()
         least = own.groupBy("key").agg(F.min("label").alias("to"), F.max("label").alias("top")).filter("to < top").select("key", "to")
         edges = materialize(own.join(least, "key").filter("label > to").select("label", "to").distinct(), "joins")
         if edges.isEmpty():
             continue
         found = connected_components(edges, "label", "to")
         found = materialize(found, "found")
-        move = lambda df, c: df.join(found.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")  # noqa: E731, B023
+        move = lambda df, c: df.join(growing(found.withColumnRenamed("node", c)), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")  # noqa: E731, B023
         labels = materialize(move(labels, "label").select("file_id", "label"), "labels")
         new = found.select(F.col("component").alias("group"), F.lit(STAGE[method]).alias("stage")).distinct()
         credits = materialize((new if credits is None else move(credits, "group").select("group", "stage").union(new)).distinct(), "credits")
     first = claims.groupBy("file_id").agg(F.min_by("method", "stage").alias("match_method"))
-    members = labels.withColumnRenamed("label", "group").join(first, "file_id").select("group", "file_id", "match_method")
+    members = labels.withColumnRenamed("label", "group").join(growing(first), "file_id").select("group", "file_id", "match_method")
     if credits is None:
         credits = members.select("group", F.lit(0).alias("stage")).limit(0)
     return members, credits
@@ -46,8 +47,8 @@ def summarize(members: DataFrame, credits: DataFrame, files: DataFrame) -> DataF
     names = F.create_map(*(F.lit(x) for m, s in STAGE.items() for x in (s, m)))
     sure = F.create_map(*(F.lit(x) for m, s in STAGE.items() for x in (s, CONFIDENCE[m])))
     credit = credits.groupBy("group").agg(F.array_sort(F.collect_set("stage")).alias("_stages"))
-    sizes = members.join(files.select("file_id", "size", "path"), "file_id").groupBy("group").agg(F.count("*").alias("files"), F.sum("size").alias("total_size"), (F.sum("size") - F.max("size")).alias("reclaimable"), F.min("path").alias("first_path"))
-    out = sizes.join(credit, "group")
+    sizes = members.join(growing(files.select("file_id", "size", "path")), "file_id").groupBy("group").agg(F.count("*").alias("files"), F.sum("size").alias("total_size"), (F.sum("size") - F.max("size")).alias("reclaimable"), F.min("path").alias("first_path"))
+    out = sizes.join(growing(credit), "group")
     return out.select(
         "group",
         F.transform("_stages", lambda s: names[s]).alias("methods"),

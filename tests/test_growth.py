@@ -39,3 +39,11 @@ def test_log_has_few_files_for_many_days(spark, tmp_path):
     files = [f for _, _, names in os.walk(tmp_path / "log") for f in names if f.endswith(".parquet")]
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4000
     assert len(files) <= 100 + 8
+
+
+def test_joins_of_a_row_per_file_are_not_broadcast(spark, capsys):
+    files, claimed = spark.range(1000).withColumnRenamed("id", "file_id"), spark.range(10).withColumnRenamed("id", "file_id")
+    left = detect.unclaimed(files, claimed)
+    left.explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
+    assert left.count() == 990
