@@ -172,6 +172,46 @@ def test_token_files(odd, odd_rows, empty, library):
     assert tokenfiles.read(tokenfiles.write(empty)).count() == 0
 
 
+def test_the_library_is_asked_once_for_a_word(monkeypatch):
+    """Over batches and tasks: its answers are most of the work."""
+    coder = tokenfiles.Library(bpe.public_path())
+    asked: Counter = Counter()
+    ask = coder.ask
+    monkeypatch.setattr(coder, "ask", lambda words: (asked.update(words), ask(words))[1])
+    words = ["".join(chr(97 + k // 26**i % 26) for i in range(4)) + "ing" for k in range(150_000)]
+    for _ in range(2):
+        for a in range(0, len(words), 10_000):
+            coder.encode([" ".join(words[a : a + 10_000]).encode()])
+    assert len(asked) == len(words) and set(asked.values()) == {1}
+
+
+def test_known_words_are_bounded(monkeypatch, library):
+    monkeypatch.setattr(tokenfiles, "WORDS", 100)
+    coder = tokenfiles.Library(bpe.public_path())
+    for k in range(40):
+        text = " ".join(f"w{chr(97 + (k + j) % 26) * (j + 1)}" for j in range(20))
+        assert coder.encode([text.encode()])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(coder.known) <= 100 + 20 + 10
+
+
+def test_pieces_are_cut_as_by_the_library(monkeypatch, library):
+    rng = random.Random(5)
+    settled = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028)]]
+    texts = ["", *TEXTS, "x'll 'S ''s '9 it's\x85it's don't1'd", *("".join(rng.choices(settled, k=40)) for _ in range(300)), *(" ".join("".join(rng.choices("aB9.-'é\xa0İ漢", k=6)) for _ in range(20)) for _ in range(100))]
+    coder = tokenfiles.Library(bpe.public_path())
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in coder.encode([t.encode() for t in texts])] == want
+    monkeypatch.setattr(tokenfiles, "TEXT", 7)  # a long text is cut at white space
+    assert [coder.encode([t.encode()])[0].tolist() for t in texts] == want
+
+
+@pytest.mark.parametrize("n", [5000, 70_000, 140_000])
+def test_blocks_of_many_different_ids(n):
+    rng = np.random.default_rng(n)
+    blocks = [rng.permutation(n), np.repeat(rng.permutation(n // 10), 3), rng.zipf(1.2, 3000) % n]
+    assert all((a == b).all() for a, b in zip(rangecoder.decode(rangecoder.encode(blocks)), blocks, strict=True))
+
+
 # ---- language ID --------------------------------------------------------------------------------
 
 
