@@ -100,9 +100,11 @@ class Model:
 
     def find(self, target: np.ndarray, p1: np.ndarray, p2: np.ndarray, k2: np.ndarray, k12: np.ndarray, k0: np.ndarray) -> np.ndarray:
         """The id in whose share each target falls."""
-        at = np.flatnonzero(target >= k12)
-        ids = np.where(target < k2, p2, p1).astype(np.int64)
-        ids[at] = self.ids.take((target.take(at) - k12.take(at)) // k0.take(at) + self.key.take(at))
+        part = np.maximum(target - k12, 0)
+        part //= k0
+        part += self.key[: len(part)]
+        ids = self.ids.take(part).astype(np.int64)
+        np.copyto(ids, np.where(target < k2, p2, p1), where=target < k12)
         return ids
 
     def update(self, ids: np.ndarray) -> None:

@@ -35,7 +35,7 @@ END = 1
 TEXT = 8 << 20
 
 #: Words that a worker keeps with their ids, and words in one text for the library, which is slower on longer ones.
-WORDS, ASKED = 600_000, 100
+WORDS, ASKED = 600_000, 50
 
 #: Kinds of characters in the vocabulary file's rule: letters and others form runs, a digit is a word, and white space is
 #: none. Settled characters, lower-cased, are below LOWERED.
@@ -126,12 +126,14 @@ class Library:
         coded = pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(data)).filter(pa.array(full)).dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.shorten()
-        new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, self.ask(new), strict=True))
-        ids, counts = _spread(list(map(self.known.__getitem__, words)), coded.indices.to_numpy(zero_copy_only=False))
-        for word in new:
-            if len(word) > LONG:
-                del self.known[word]
+        own = list(map(self.known.get, words))
+        if missing := [k for k, x in enumerate(own) if x is None]:
+            new = [words[k] for k in missing]
+            for k, word, x in zip(missing, new, self.ask(new), strict=True):
+                own[k] = x
+                if len(word) <= LONG:
+                    self.known[word] = x
+        ids, counts = _spread(own, coded.indices.to_numpy(zero_copy_only=False))
         piece = np.cumsum(points == 10)[begin[full]]
         return ids, np.bincount(piece, counts, len(pieces)).astype(np.int64)
 
