@@ -102,7 +102,8 @@ class Library:
         flat = np.array(ids, "<u4")
         ends = 4 * np.flatnonzero(self.final.take(flat)) + 4
         if len(ends) != len(letters):
-            raise ValueError("a word of this vocabulary does not end with a token that ends words")
+            # a word is empty or has no end token of its own: one by one
+            return [np.array([t.id for t in self.words.model.tokenize(word)], "<u4").tobytes() for word in letters]
         data = flat.tobytes()
         return [data[a:b] for a, b in pairwise([0, *ends.tolist()])]
 
@@ -155,7 +156,11 @@ class Library:
             flat = np.append(flat, np.frombuffer(b"".join(own), "<u4"))
         return flat, begins, sizes
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
+        return [x.tobytes() for x in self.arrays(texts)]
+
+    def arrays(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text."""
         if len(texts) == 1 and len(texts[0]) > TEXT:
             return [np.concatenate([self._joined([part])[0] for part in slices(texts[0], TEXT)])]
@@ -197,7 +202,7 @@ def write(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
             names, held, size = [], [], 0
             coder = library(path)
             for part in batched(pairs(), TEXT):
-                for (i, _), ids in zip(part, coder.encode([t for _, t in part]), strict=True):
+                for (i, _), ids in zip(part, coder.arrays([t for _, t in part]), strict=True):
                     own = np.append(ids, np.uint32(end))
                     if held and size + len(own) > block:
                         yield names, held

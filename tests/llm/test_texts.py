@@ -190,7 +190,7 @@ def test_known_words_are_bounded(monkeypatch, library):
     coder = tokenfiles.Library(bpe.public_path())
     for k in range(40):
         text = " ".join(f"w{chr(97 + (k + j) % 26) * (j + 1)}" for j in range(20))
-        assert coder.encode([text.encode()])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert coder.arrays([text.encode()])[0].tolist() == library.encode(text, add_special_tokens=False).ids
     assert len(coder.known) <= 100 + 20 + 10
 
 
@@ -200,9 +200,9 @@ def test_pieces_are_cut_as_by_the_library(monkeypatch, library):
     texts = ["", *TEXTS, "x'll 'S ''s '9 it's\x85it's don't1'd", *("".join(rng.choices(settled, k=40)) for _ in range(300)), *(" ".join("".join(rng.choices("aB9.-'é\xa0İ漢", k=6)) for _ in range(20)) for _ in range(100))]
     coder = tokenfiles.Library(bpe.public_path())
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [x.tolist() for x in coder.encode([t.encode() for t in texts])] == want
+    assert [x.tolist() for x in coder.arrays([t.encode() for t in texts])] == want
     monkeypatch.setattr(tokenfiles, "TEXT", 7)  # a long text is cut at white space
-    assert [coder.encode([t.encode()])[0].tolist() for t in texts] == want
+    assert [coder.arrays([t.encode()])[0].tolist() for t in texts] == want
 
 
 @pytest.mark.parametrize("n", [5000, 70_000, 140_000])
