@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kinsift.operators import anchors, detect, merge, rank, select
+from kinsift.operators import anchors, credits, detect, merge, rank, select
 from kinsift.operators.components import connected_components
 from kinsift.plans.config import METHODS, ScanConfig
 from kinsift.plans.resolve import resolve
@@ -261,3 +261,46 @@ def test_guest_credits_equal_a_loop_over_sets(spark):
         files = [(r[0], frozenset(r[3]), r[4]) for r in sorted(rows, key=lambda r: r[2]) if r[1] == title]
         want |= {(f"{title}|{a}", i) for a, i in plain_credits(files)} if 2 <= len(files) <= 60 else set()
     assert got == want and want
+
+
+def credit_rows(kind, rng):
+    """Titles of 30 to 1,500 files: (file_id, core_key, path, artist_set, duration)."""
+    rows = []
+    for title, n in (("small", 30), ("middle", 150), ("large", 1500)):
+        for k in range(n):
+            who, seconds = sorted(rng.sample("abcdefgh", rng.randrange(1, 4))), rng.choice([None, 0.0, float("nan"), float("inf"), -3.0, *(rng.randrange(4000) / 10 for _ in range(60))])
+            if kind == "linked":  # one artist with many guests, and some files of that artist alone
+                who, seconds = ["a"] if k % 5 == 0 else ["a", f"g{rng.randrange(300)}"], rng.randrange(6000) / 10
+            elif kind == "one by one":  # by path, each file is just within or beyond the reach of the one before
+                who, seconds = ["a"], k * 1.3
+            elif kind == "apart":
+                who = [f"x{rng.randrange(n // 3)}"]
+            elif kind == "alike":
+                who, seconds = ["a"], 200.0 + k % 2
+            rows.append((len(rows), title, f"/p{k if kind == 'one by one' else rng.randrange(10**6):06}/{k}", who, seconds))
+    return rows
+
+
+@pytest.mark.parametrize(("kind", "unit"), [("mixed", 50_000), ("mixed", 200), ("linked", 200), ("one by one", 200), ("apart", 200), ("alike", 200)])
+def test_guest_credits_of_titles_of_any_size(spark, monkeypatch, kind, unit):
+    """Titles of more than 60 files are no exception; more than ``unit`` files of one title are decided by several tasks."""
+    monkeypatch.setattr(credits, "UNIT", unit)
+    seen, real = [], credits._in_order
+    monkeypatch.setattr(credits, "_in_order", lambda rows, group, known=None: seen.append((rows, group)) or real(rows, group, known))
+    rows = credit_rows(kind, random.Random(9))
+    got = {(r.key, r.file_id) for r in detect.same_song(spark.createDataFrame(rows, "file_id long, core_key string, path string, artist_set array<string>, duration double").repartition(5)).collect()}
+    want = set()
+    for title in {r[1] for r in rows}:
+        files = [(r[0], frozenset(r[3]), r[4]) for r in sorted(rows, key=lambda r: r[2]) if r[1] == title]
+        want |= {(f"{title}|{a}", i) for a, i in plain_credits(files)}
+    assert got == want and any(key.startswith("large") for key, _ in got)
+    if unit == 200:
+        largest = max(rows.groupBy(*group).count().agg(F.max("count")).first()[0] or 0 for rows, group in seen if "piece" not in group)
+        assert largest < 2 * unit
+
+
+def test_the_scan_leaves_out_no_title(spark):
+    """All files of 70 with one title, two of them with a guest: one group by credits."""
+    rows = [{"title": "Intro (feat. Guest)" if k < 2 else "Intro", "artist": "Solo & Guest" if k < 2 else "Solo"} for k in range(70)]
+    got = groups_of(spark, rows, ScanConfig(mode="all", min_size=0, use_exact=False, use_audio=False, use_name=False, use_duration=False, use_size=False))
+    assert set(got) == {frozenset(range(70))} and "feat" in got[frozenset(range(70))].methods
